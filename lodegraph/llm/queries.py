@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import packing, tokens
+from lodegraph.llm import mojibake, packing, tokens
 from lodegraph.session import table
 
 
@@ -22,8 +22,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_packing(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.found(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = mojibake.learn(docs, "text", "source")
+    return mojibake.repair(docs, "doc_id", "text", "source", model).where("n_restored + n_lost > 0")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p7_packing, p7_fill)}
+    return {f.__name__: f for f in (p6_ids, p7_packing, p7_fill, p8_found, p8_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
