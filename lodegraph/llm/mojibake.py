@@ -37,50 +37,62 @@ from pyspark.sql import functions as F
 
 from lodegraph.session import cut
 
-#: Code pages considered; "cp1252+" reads its undefined bytes as C1 controls, as browsers do.
-READ_AS = ["cp1252+", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "iso8859_15", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp866", "koi8_r"]
+#: Code pages considered; those with "+" read their undefined bytes as C1 controls, as browsers do.
+READ_AS = ["cp1252+", "latin_1", "cp1250+", "cp1251+", "cp1253+", "cp1254+", "iso8859_2", "iso8859_15", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp866", "koi8_r"]
 READ_WIDE = ["cp949", "cp932", "gbk", "big5"]
-WRITTEN = ["utf_8", "cp1252+", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp949", "euc_jp", "cp932", "gbk", "big5"]
+WRITTEN = ["utf_8", "cp1252+", "cp1250+", "cp1251+", "koi8_r", "cp866", "iso8859_5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp949", "euc_jp", "cp932", "gbk", "big5"]
 WRITTEN_WIDE = {"utf_8", "cp949", "euc_jp", "cp932", "gbk", "big5"}
 TWICE = "utf_8*2"
 
-#: Size of the bigram table (cells), smoothing, start share of a cipher, rounds, and the decision.
+#: Size of the bigram table (cells), smoothing, least share of a cipher by the page written, start weight of ambiguous
+#: words, rounds, and the decision.
 CELLS = 1 << 20
 ALPHA, SPREAD = 0.02, 4000
-START_SHARE = 1e-4
-ROUNDS = 2
-MIN_POSTERIOR = 0.95
+START_SHARE = {"utf_8": 1e-3, "": 1e-4}
+AMBIGUOUS = 0.05
+ROUNDS = 5
+#: UTF-8 checks itself: a reading that is valid needs less of the bigrams.
+MIN_POSTERIOR = {"utf_8": 0.4, "": 0.9}
 MIN_GAIN = 3.0
+#: A cipher that single words speak for only weakly is still taken, if so many different words of a
+#: text do, with so much likelihood gained together.
+WEAK_WORDS, WEAK_GAIN, WEAK_TOTAL = 3, 1.0, 8.0
 LOSS = "�"
 
-_PLUS = {i: chr(i) for i in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-_PLUS_BACK = {v: bytes([k]) for k, v in _PLUS.items()}
+
+@lru_cache(maxsize=64)
+def _gaps(page: str) -> dict[str, bytes]:
+    """C1 controls that stand for the bytes ``page`` leaves undefined."""
+    return {chr(i): bytes([i]) for i in range(0x80, 0xA0) if not bytes([i]).decode(page, errors="ignore")}
+
+
 _TOKEN = re.compile(r"[^\x00-\x20]+")
 _WIDE_CHARS = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힣豈-﫿＀-￯]+")
 
 
 def _encode(text: str, page: str) -> bytes | None:
+    base = page.rstrip("+")
+    try:
+        return text.encode(base)
+    except UnicodeEncodeError:
+        if base == page:
+            return None
+    gaps = _gaps(base)
     try:
-        if page == "cp1252+":
-            try:
-                return text.encode("cp1252")
-            except UnicodeEncodeError:
-                return b"".join(_PLUS_BACK.get(c) or c.encode("cp1252" if not 0x80 <= ord(c) < 0xA0 else "latin_1") for c in text)
-        return text.encode(page)
+        return b"".join(gaps.get(c) or c.encode(base) for c in text)
     except UnicodeEncodeError:
         return None
 
 
 def _decode(data: bytes, page: str) -> str | None:
+    base = page.rstrip("+")
     try:
-        if page == "cp1252+":
-            try:
-                return data.decode("cp1252")
-            except UnicodeDecodeError:
-                return "".join(_PLUS.get(b) or bytes([b]).decode("cp1252") for b in data)
-        return data.decode(page)
+        return data.decode(base)
     except UnicodeDecodeError:
-        return None
+        if base == page:
+            return None
+    gaps = _gaps(base)
+    return "".join(chr(b) if chr(b) in gaps else bytes([b]).decode(base, errors="replace") for b in data)
 
 
 @lru_cache(maxsize=65536)
@@ -222,7 +234,7 @@ class Model:
         own, base = self.shares.get(source), self.shares.get("", {})
         logs = []
         for cipher, text in options:
-            share = (own or {}).get(cipher, 0.0) * 0.9 + base.get(cipher, 0.0) * 0.1 + START_SHARE
+            share = (own or base).get(cipher, 0.0) / 2 + base.get(cipher, 0.0) / 2 + START_SHARE.get(cipher.partition(">")[2], START_SHARE[""])
             logs.append(score(text, self.pairs, self.singles) + math.log(share))
         if not logs:
             return 1.0, None, 0.0
@@ -232,18 +244,19 @@ class Model:
         best = max(range(len(logs)), key=lambda i: logs[i])
         return math.exp(clean - top) / total, options[best][0], weights[best] / total
 
-    def verdict(self, word: str, source) -> str | None:
-        """The cipher that garbled ``word``, or None."""
+    def judge(self, word: str, source) -> tuple[str | None, dict[str, float]]:
+        """The cipher that garbled ``word``, or None, and what likelihood each cipher would gain."""
         options = readings(word)
         if not options:
-            return None
-        clean, cipher, p = self.posterior(word, options, source)
-        if 1 - clean < MIN_POSTERIOR or cipher is None:
-            return None
-        text = dict(options)[cipher]
-        if score(text, self.pairs, self.singles) - score(word, self.pairs, self.singles) < MIN_GAIN:
-            return None
-        return cipher
+            return None, {}
+        before = score(word, self.pairs, self.singles)
+        gains = {c: g for c, t in options if (g := score(t, self.pairs, self.singles) - before) > WEAK_GAIN}
+        if not gains:
+            return None, gains
+        clean, cipher, _ = self.posterior(word, options, source)
+        least = MIN_POSTERIOR.get((cipher or "").partition(">")[2], MIN_POSTERIOR[""])
+        sure = 1 - clean >= least and gains.get(cipher, 0.0) >= MIN_GAIN
+        return (cipher if sure else None), gains
 
 
 _STATS = "kind int, source string, key string, weight double"
@@ -260,7 +273,8 @@ def _statistics(model: Model | None):
             for word, source, n, options in zip(pdf["word"], pdf["source"], pdf["n"], pdf["options"]):
                 options = [(o["cipher"], o["text"]) for o in options]
                 if model is None or not options:
-                    _count(word, n, pairs, singles)
+                    # at the start, words that some cipher explains speak for the languages in part only
+                    _count(word, n * (AMBIGUOUS if options else 1.0), pairs, singles)
                     continue
                 clean, cipher, p = model.posterior(word, options, source)
                 if clean > 1e-6:
@@ -351,18 +365,30 @@ def _spread(table: DataFrame, model: Model) -> DataFrame:
     return table.mapInPandas(run, _STATS)
 
 
-def mend(text: str, source, verdict) -> tuple[str, int, int]:
+def mend(text: str, source, judge) -> tuple[str, int, int]:
     """(text with garbled words restored, number restored, number lost for good)."""
+    weak: dict = defaultdict(float)
+    seen: dict = defaultdict(int)
+    views = {}
+    for w in words(text):
+        if w not in views and LOSS not in w:
+            views[w] = judge(w, source)
+            for cipher, gain in views[w][1].items():
+                weak[cipher] += gain
+                seen[cipher] += 1
+    together = max((c for c in weak if seen[c] >= WEAK_WORDS and weak[c] >= WEAK_TOTAL), key=lambda c: (weak[c], c), default=None)
     restored = lost = 0
 
-    def word(p: str) -> str:
+    def piece(p: str) -> str:
         nonlocal restored, lost
         if p.isascii():
             return p
         if LOSS in p:
             lost += 1
             return p
-        cipher = verdict(p, source)
+        cipher, gains = views[p]
+        if cipher is None and together in gains:
+            cipher = together
         if cipher is None:
             return p
         restored += 1
@@ -370,7 +396,7 @@ def mend(text: str, source, verdict) -> tuple[str, int, int]:
 
     def token(m) -> str:
         t = m.group()
-        return t if t.isascii() else "".join(map(word, pieces(t)))
+        return t if t.isascii() else "".join(map(piece, pieces(t)))
 
     return _TOKEN.sub(token, text), restored, lost
 
@@ -383,16 +409,16 @@ def repair(documents: DataFrame, id_col: str, text_col: str, source_col: str, mo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
 
-        def verdict(w, s):
+        def judge(w, s):
             key = (w, s if s in shared.value.shares else "")
             if key not in known:
                 if len(known) > 200_000:
                     known.clear()
-                known[key] = shared.value.verdict(w, s)
+                known[key] = shared.value.judge(w, s)
             return known[key]
 
         for pdf in batches:
-            out = [mend(t, s, verdict) for t, s in zip(pdf["text"], pdf["source"])]
+            out = [mend(t, s, judge) for t, s in zip(pdf["text"], pdf["source"])]
             yield pd.DataFrame({id_col: pdf["id"], "repaired": [o[0] if with_text else None for o in out], "n_restored": [o[1] for o in out], "n_lost": [o[2] for o in out]})
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
