@@ -365,6 +365,10 @@ def _spread(table: DataFrame, model: Model) -> DataFrame:
     return table.mapInPandas(run, _STATS)
 
 
+def _lone(word: str) -> bool:
+    return sum(c >= "\x80" or c.isalpha() for c in word) == 1
+
+
 def mend(text: str, source, judge) -> tuple[str, int, int]:
     """(text with garbled words restored, number restored, number lost for good)."""
     weak: dict = defaultdict(float)
@@ -377,6 +381,8 @@ def mend(text: str, source, judge) -> tuple[str, int, int]:
                 weak[cipher] += gain
                 seen[cipher] += 1
     together = max((c for c in weak if seen[c] >= WEAK_WORDS and weak[c] >= WEAK_TOTAL), key=lambda c: (weak[c], c), default=None)
+    # A lone character proves little: some other word has to speak for its cipher.
+    spoken = {v[0] for w, v in views.items() if not _lone(w)}
     restored = lost = 0
 
     def piece(p: str) -> str:
@@ -387,6 +393,8 @@ def mend(text: str, source, judge) -> tuple[str, int, int]:
             lost += 1
             return p
         cipher, gains = views[p]
+        if cipher not in spoken:
+            cipher = None
         if cipher is None and together in gains:
             cipher = together
         if cipher is None:
