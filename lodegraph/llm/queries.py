@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodegraph.llm import mojibake, packing, tokens
+from lodegraph.llm import mojibake, packing, secrets, tokens
 from lodegraph.session import table
 
 
+def _headers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "cursor_api_config").select("config_id", F.col("cursor_api.headers.authorization").alias("authorization"))
+
+
+def _secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secrets(table(spark, d, "file_contents"), table(spark, d, "files"), _headers(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _secrets(spark, d).select("record_table", "record_id", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    hits = _secrets(spark, d)
+    files = secrets.redacted(table(spark, d, "file_contents"), "file_id", "content", hits, "file_contents")
+    return files.unionByName(secrets.redacted(_headers(spark, d), "config_id", "authorization", hits, "cursor_api_config"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -33,7 +52,7 @@ def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p7_packing, p7_fill, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p3_found, p3_redacted, p6_ids, p7_packing, p7_fill, p8_found, p8_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
