@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import mojibake, packing, secrets, tokens
+from lodegraph.llm import mojibake, packing, provenance, secrets, tokens
 from lodegraph.session import table
 
 
@@ -27,6 +27,18 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return files.unionByName(secrets.redacted(_headers(spark, d), "config_id", "authorization", hits, "cursor_api_config"))
 
 
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "file_contents"), table(spark, d, "files"), table(spark, d, "library_files")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.found(*_sources(spark, d))
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.provenance(*_sources(spark, d)).select("file_id", "generated", "third_party", "minified", "data")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -52,7 +64,7 @@ def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_redacted, p6_ids, p7_packing, p7_fill, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_kinds, p6_ids, p7_packing, p7_fill, p8_found, p8_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
