@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -96,19 +95,35 @@ def _class_of(token: str) -> int:
 
 
 class Lexicon:
-    """Class and hash of each token text, remembered up to a bound."""
+    """Numbers of token texts and, by number: class, hash, length, line breaks, blanks."""
 
-    def __init__(self, bound: int = 300_000):
-        self.known: dict[str, tuple[int, int]] = {}
+    def __init__(self, bound: int = 400_000):
         self.bound = bound
-
-    def look(self, token: str) -> tuple[int, int]:
-        got = self.known.get(token)
-        if got is None:
-            if len(self.known) > self.bound:
-                self.known.clear()
-            got = self.known[token] = (_class_of(token), xxhash.xxh64_intdigest(token) >> 1)
-        return got
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size = 0
+        self.kind = np.zeros(1 << 12, dtype=np.uint64)
+        self.hash = np.zeros(1 << 12, dtype=np.uint64)
+        self.length, self.breaks, self.blanks = (np.zeros(1 << 12, dtype=np.int64) for _ in range(3))
+
+    def add(self, token: str) -> int:
+        i = self.size
+        if i == len(self.kind):
+            for name in ("kind", "hash", "length", "breaks", "blanks"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        self.kind[i], self.hash[i] = _class_of(token), xxhash.xxh64_intdigest(token) >> 1
+        self.length[i], self.breaks[i], self.blanks[i] = len(token), token.count("\n"), token.count(" ") + token.count("\t") + token.count("\n")
+        self.size += 1
+        if len(token) < 80:  # long ones seldom come again
+            self.known[token] = i
+        return i
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        get, add = self.known.get, self.add
+        return np.array([add(t) if (i := get(t)) is None else i for t in tokens], dtype=np.int64)
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -186,50 +201,45 @@ def _summed(owner: np.ndarray, name: np.ndarray, weight: np.ndarray, files: int)
     return out
 
 
-@lru_cache(maxsize=1)
-def _lexicon() -> Lexicon:
-    return Lexicon()
-
-
 def extension(path: str | None) -> str:
     return (path or "").rpartition("/")[2].rpartition(".")[2].lower() if "." in (path or "").rpartition("/")[2] else ""
 
 
-def describe(text: str, ext: str) -> tuple[dict, np.ndarray, np.ndarray]:
+def _marked(text: str, start: int, end: int) -> bool:
+    part = text[start:end]
+    low = part.lower()
+    return any(h in low for h in ("generated", "do not ", "machine", "produced", "자동")) and bool(MARKER.search(part))
+
+
+def describe(text: str, ext: str, lexicon: Lexicon) -> tuple[tuple, np.ndarray, np.ndarray]:
     """Plain measures of a file, and its token classes and token hashes without comments."""
-    look = _lexicon().look
     tokens = _TOKENS.get({"yaml": "yml"}.get(ext, ext), _DEFAULT).findall(text)
-    pairs = [look(t) if len(t) < 200 else (_class_of(t), xxhash.xxh64_intdigest(t) >> 1) for t in tokens]
-    marked = bool(MARKER.search(text, 0, 2500))
-    first = next((i for i, p in enumerate(pairs) if p[0] != _COMMENT), len(pairs))
-    if tokens[first : first + 3] == ["<", "?", "xml"]:  # the comment after a prolog still heads the file
-        end = text.find("?>")
-        head = text[end + 2 :].lstrip()
-        headed = head.startswith("<!--") and bool(MARKER.search(head[: head.find("-->")]))
-    else:
-        headed = marked and any(MARKER.search(t) for t in tokens[:first])
-    keep = [i for i, p in enumerate(pairs) if p[0] != _COMMENT]
-    classes = np.array([pairs[i][0] for i in keep], dtype=np.uint64)
-    hashes = np.array([pairs[i][1] for i in keep], dtype=np.uint64)
-    literal = np.flatnonzero((classes == _STRING) | (classes == _NUMBER)) if len(classes) else []
-    chars = [len(tokens[keep[i]]) - 2 * int(classes[i] == _STRING) for i in literal]
+    ids = lexicon.numbers(tokens)
+    kind, length = lexicon.kind[ids], lexicon.length[ids]
+    comment = kind == _COMMENT
+    marked = _marked(text, 0, 2500)
+    headed = False
+    if marked:
+        first = int(np.argmin(comment)) if len(comment) and not comment.all() else len(tokens)
+        if tokens[first : first + 3] == ["<", "?", "xml"]:  # the comment after a prolog still heads the file
+            head = text[text.find("?>") + 2 :].lstrip()
+            headed = head.startswith("<!--") and bool(MARKER.search(head[: head.find("-->")]))
+        else:
+            headed = any(MARKER.search(t) for t in tokens[:first])
+    code = ~comment
+    string = kind == _STRING
+    literal = string | (kind == _NUMBER)
+    code_chars = int(length[code].sum())
+    chars = int(length[literal].sum() - 2 * string.sum())
     opaque = False  # one literal makes up the file and doesn't compress like text
-    if chars and max(chars) >= DATA_CHARS:
-        longest = max((tokens[keep[i]] for i in literal), key=len)
-        opaque = len(longest) >= OPAQUE_SHARE * sum(len(tokens[i]) for i in keep) and len(zlib.compress(longest.encode("utf-8", "replace"), 6)) >= OPAQUE_RATIO * len(longest)
-    code_chars = sum(len(tokens[i]) for i in keep)
-    comment_lines = sum(tokens[i].count("\n") + 1 for i, p in enumerate(pairs) if p[0] == _COMMENT)
-    lines = max(1, sum(1 for x in text.split("\n") if x and not x.isspace()) - comment_lines)
-    blanks = text.count(" ") + text.count("\n") + text.count("\t")
-    for i, p in enumerate(pairs):
-        if p[0] == _COMMENT:
-            t = tokens[i]
-            blanks -= t.count(" ") + t.count("\n") + t.count("\t")
-    for i in literal:
-        t = tokens[keep[i]]
-        blanks -= t.count(" ")
-    measures = {"n": len(keep), "literals": len(literal), "literal_chars": int(sum(chars)), "code_chars": code_chars, "lines": lines, "blanks": max(0, blanks), "marked": marked, "headed": headed, "opaque": opaque}
-    return measures, classes, hashes
+    longest = int(length[literal].max()) if literal.any() else 0
+    if longest >= DATA_CHARS and longest >= OPAQUE_SHARE * code_chars:
+        token = tokens[int(np.argmax(np.where(literal, length, 0)))]
+        opaque = len(zlib.compress(token.encode("utf-8", "replace"), 6)) >= OPAQUE_RATIO * len(token)
+    lines = max(1, text.count("\n") + 1 - text.count("\n\n") - int((lexicon.breaks[ids[comment]] + 1).sum()))
+    blanks = text.count(" ") + text.count("\n") + text.count("\t") - int(lexicon.blanks[ids[comment | literal]].sum())
+    measures = (int(code.sum()), int(literal.sum()), chars, code_chars, lines, max(0, blanks), marked, headed, opaque)
+    return measures, kind[code], lexicon.hash[ids[code]]
 
 
 _MEASURES = "n int, literals int, literal_chars long, code_chars long, lines int, blanks int, marked boolean, headed boolean, opaque boolean"
@@ -253,11 +263,14 @@ def _segments(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def _grammars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lexicon = Lexicon()
     for pdf in batches:
         for low in range(0, len(pdf), 1000):
             part = pdf.iloc[low : low + 1000]
             exts = [extension(p) for p in part["path"]]
-            got = [describe(t, e) for t, e in zip(part["content"], exts)]
+            if lexicon.size > lexicon.bound:
+                lexicon.clear()
+            got = [describe(t, e, lexicon) for t, e in zip(part["content"], exts)]
             n = len(part)
             reused = np.zeros(n, dtype=np.int64)
             rules: list = [[] for _ in range(n)]
@@ -271,7 +284,7 @@ def _grammars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 o, names, w, _, _ = re_pair(seq, own, LITERAL_RULE, False)
                 for i, r in enumerate(_summed(o, names, w, n)):
                     copies[i] += r
-            out = pd.DataFrame([g[0] for g in got])
+            out = pd.DataFrame([g[0] for g in got], columns=[m.split()[0] for m in _MEASURES.split(", ")])
             out.insert(0, "file_id", part["file_id"].to_numpy())
             out.insert(1, "project_id", part["project_id"].to_numpy())
             out.insert(2, "known", part["known"].to_numpy())
