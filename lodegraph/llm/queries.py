@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import mojibake, packing, provenance, secrets, tokens
+from lodegraph.llm import mojibake, packing, parsing, provenance, secrets, tokens
 from lodegraph.session import table
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse_files(table(spark, d, "file_contents"), table(spark, d, "files"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).where("not valid").select("file_id")
+
+
+def p2_errors(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d)
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.error_rates(_parsed(spark, d))
+
+
 def _headers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cursor_api_config").select("config_id", F.col("cursor_api.headers.authorization").alias("authorization"))
 
@@ -64,7 +80,7 @@ def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_kinds, p6_ids, p7_packing, p7_fill, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p2_found, p2_errors, p2_rates, p3_found, p3_redacted, p5_found, p5_kinds, p6_ids, p7_packing, p7_fill, p8_found, p8_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
