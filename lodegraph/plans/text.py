@@ -503,7 +503,7 @@ def ref_x21_annotations(m):
     return k.groupBy("annotation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("files"))
 
 
-@query(f"{_T}, l AS (SELECT t.file_id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM t JOIN f USING (file_id) WHERE content IS NOT NULL), r AS (SELECT file_id, CAST(line_no AS INTEGER) AS line_no, 'sql_injection' AS kind, 1 AS rule FROM l WHERE path LIKE '%.xml' AND regexp_matches(line, '\\$\\{{[a-zA-Z_]') UNION ALL SELECT file_id, CAST(line_no AS INTEGER), 'sql_injection', 2 FROM l WHERE path LIKE '%.java' AND regexp_matches(line, 'append\\(\"SELECT[^?]*\"') UNION ALL SELECT file_id, CAST(line_no AS INTEGER), 'xss', 3 FROM l WHERE path LIKE '%.jsp' AND regexp_matches(line, '<%=[^%]*%>')) SELECT file_id, line_no, kind, min(rule) AS rule FROM r GROUP BY ALL")
+@query(f"{_T}, l AS (SELECT t.file_id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM t JOIN f USING (file_id) WHERE content IS NOT NULL), r AS (SELECT file_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN path LIKE '%.xml' AND regexp_matches(line, '\\$\\{{[a-zA-Z_]') THEN 1 WHEN path LIKE '%.java' AND regexp_matches(line, 'append\\(\"SELECT[^?]*\"') THEN 2 WHEN path LIKE '%.jsp' AND regexp_matches(line, '<%=[^%]*%>') THEN 3 END AS rule FROM l) SELECT file_id, line_no, CASE rule WHEN 3 THEN 'xss' ELSE 'sql_injection' END AS kind, rule FROM r WHERE rule IS NOT NULL")
 def ref_x22_vulnerability_scan(m):
     return X.scan_rules(_texts(m), "file_id", "content", "path", [(".xml", "sql_injection", r"\$\{[a-zA-Z_]"), (".java", "sql_injection", r'append\("SELECT[^?]*"'), (".jsp", "xss", r"<%=[^%]*%>")])
 
