@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package: where they can't, it is sent to them as a zip, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = __name__.partition(".")[0]
+
+    def probe(batches):
+        import importlib.util
+
+        for pdf in batches:
+            pdf["ok"] = importlib.util.find_spec(package) is not None
+            yield pdf[["ok"]]
+
+    if not spark.range(1, numPartitions=1).mapInPandas(probe, "ok boolean").first()["ok"]:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        with tempfile.TemporaryDirectory() as folder:  # the driver's own copy; executors fetch it from the driver
+            path = os.path.join(folder, f"{package}.zip")
+            with zipfile.ZipFile(path, "w") as z:
+                for at, _, names in os.walk(os.path.join(root, package)):
+                    for name in names:
+                        if name.endswith(".py"):
+                            z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+            spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
