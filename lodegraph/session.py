@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -64,14 +66,15 @@ def ship(spark: SparkSession) -> None:
 
     if not spark.range(1, numPartitions=1).mapInPandas(probe, "ok boolean").first()["ok"]:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        with tempfile.TemporaryDirectory() as folder:  # the driver's own copy; executors fetch it from the driver
-            path = os.path.join(folder, f"{package}.zip")
-            with zipfile.ZipFile(path, "w") as z:
-                for at, _, names in os.walk(os.path.join(root, package)):
-                    for name in names:
-                        if name.endswith(".py"):
-                            z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
-            spark.sparkContext.addPyFile(path)
+        folder = tempfile.mkdtemp(prefix=f"{package}-")  # the driver's own copy; executors fetch it from the driver
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, f"{package}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(os.path.join(root, package)):
+                for name in names:
+                    if name.endswith(".py"):
+                        z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+        spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
 
 
