@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.functions import code, paths, sqltext
+from lodegraph.functions import paths, sqltext
 from lodegraph.model import COMPONENTS, CONTENTS, EDGES, FILES, HINTS, NODES, UNITS, Model
 from lodegraph.operators import dml as D
 from lodegraph.operators import extract as X
