@@ -74,16 +74,20 @@ def _range(column: str = "id"):
 
 
 def _stack(references: list[Reference]) -> DataFrame:
-    out = None
+    """All references as rows; columns of one table come from a single scan of it."""
+    by_table: dict[int, list[Reference]] = {}
     for r in references:
-        one = r.df.select(
-            F.lit(r.table).alias("ref_table"),
-            F.col(r.id_col).cast("long").alias("ref_id"),
-            F.lit(r.field).alias("ref_field"),
-            type_key(r.type_col).alias("type"),
-            F.col(r.key_col).cast("long").alias("id"),
-            F.col(r.created_col).cast("timestamp").alias("created_at"),
-        ).where(F.col("id").isNotNull())
+        by_table.setdefault(id(r.df), []).append(r)
+    out = None
+    for group in by_table.values():
+        each = [
+            F.struct(
+                F.lit(r.table).alias("ref_table"), F.col(r.id_col).cast("long").alias("ref_id"), F.lit(r.field).alias("ref_field"),
+                type_key(r.type_col).alias("type"), F.col(r.key_col).cast("long").alias("id"), F.col(r.created_col).cast("timestamp").alias("created_at"),
+            )
+            for r in group
+        ]
+        one = group[0].df.select(F.inline(F.array(*each))).where(F.col("id").isNotNull())
         out = one if out is None else out.unionByName(one)
     return out.withColumn("rng", _range())
 
