@@ -44,10 +44,10 @@ def external_call(name: str, prefixes: list[str], exact: list[str], suffixes: li
     return out
 
 
-def project_edges(edges: DataFrame, nodes: DataFrame, project: int) -> DataFrame:
-    """Edges that start in a project; catalog tables belong to none."""
-    own = nodes.where(F.col("project_id") == project).select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"))
-    return edges.where("src_type <> 'table'").join(own, ["src_type", "src_id"], "left_semi")
+def project_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the project that they start in; catalog tables belong to none."""
+    own = nodes.where(F.col("project_id").isNotNull()).select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"), "project_id")
+    return edges.where("src_type <> 'table'").drop("project_id").join(own, ["src_type", "src_id"])
 
 
 def polymorphic(refs: DataFrame, nodes: DataFrame) -> DataFrame:

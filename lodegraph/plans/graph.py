@@ -211,16 +211,16 @@ def ref_g22_pattern_availability(m):
 
 
 # M: maintenance ---------------------------------------------------------------------
-@query(f"WITH {EDGES}, new AS (SELECT edge_id + 1000000 AS edge_id, project_id FROM e WHERE project_id IN (3, 4) AND edge_kind = 'call') SELECT edge_id, project_id FROM e WHERE project_id NOT IN (SELECT project_id FROM new) UNION ALL SELECT edge_id, project_id FROM new")
+@query(f"WITH {EDGES}, new AS (SELECT edge_id + 1000000 AS edge_id, project_id FROM e WHERE edge_kind = 'mybatis_include' AND confidence >= 0.9) SELECT edge_id, project_id FROM e WHERE project_id NOT IN (SELECT project_id FROM new) UNION ALL SELECT edge_id, project_id FROM new")
 def ref_m2_replace_partition(m):
-    e = m.edges().select("edge_id", "project_id", "edge_kind")
-    new = e.where("project_id in (3, 4) and edge_kind = 'call'").select((F.col("edge_id") + 1_000_000).alias("edge_id"), "project_id")
+    e = m.edges().select("edge_id", "project_id", "edge_kind", "confidence")
+    new = e.where("edge_kind = 'mybatis_include' and confidence >= 0.9").select((F.col("edge_id") + 1_000_000).alias("edge_id"), "project_id")
     return D.replaced(e.select("edge_id", "project_id"), new, "project_id")
 
 
-@query(f"WITH {EDGES}, {FILES}, {COMPONENTS}, gone AS (SELECT file_id FROM f WHERE project_id = 9), dead AS (SELECT 'file' AS t, file_id AS id FROM gone UNION ALL SELECT component_type, component_id FROM c WHERE file_id IN (SELECT file_id FROM gone)) SELECT edge_id FROM e WHERE NOT EXISTS (SELECT 1 FROM dead WHERE t = src_type AND id = src_id) AND NOT EXISTS (SELECT 1 FROM dead WHERE t = dst_type AND id = dst_id)")
+@query(f"WITH {EDGES}, {FILES}, {COMPONENTS}, gone AS (SELECT DISTINCT node_id AS file_id FROM removed_nodes WHERE lower(node_type) = 'file'), dead AS (SELECT 'file' AS t, file_id AS id FROM gone UNION ALL SELECT component_type, component_id FROM c WHERE file_id IN (SELECT file_id FROM gone)) SELECT edge_id FROM e WHERE NOT EXISTS (SELECT 1 FROM dead WHERE t = src_type AND id = src_id) AND NOT EXISTS (SELECT 1 FROM dead WHERE t = dst_type AND id = dst_id)")
 def ref_m3_cascade_delete(m):
-    return D.cascade_delete(m.files(), m.components(), m.edges(), m.files().where("project_id = 9").select("file_id")).select("edge_id")
+    return D.cascade_delete(m.files(), m.components(), m.edges(), m.raw("removed_nodes").where("lower(node_type) = 'file'").select(F.col("node_id").alias("file_id")).distinct()).select("edge_id")
 
 
 @query(f"WITH {COMPONENTS}, k AS (SELECT component_id, min(component_id) OVER (PARTITION BY project_id, component_name) AS keep FROM c WHERE component_type = 'class') SELECT x.component_id, coalesce(k.keep, x.parent_component_id) AS parent_component_id FROM c x LEFT JOIN k ON k.component_id = x.parent_component_id WHERE x.component_type = 'method'")
@@ -242,10 +242,10 @@ def ref_m6_dedupe_edges(m):
     return m.raw("edges").groupBy(*keys).agg(F.min("edge_id").alias("edge_id"), F.count(F.lit(1)).alias("copies")).select("edge_id", "copies")
 
 
-@query(f"WITH {EDGES}, {NODES}, old AS (SELECT * FROM e WHERE edge_id % 2 = 0), new AS (SELECT * FROM e WHERE edge_id % 2 = 1 AND confidence >= 0.3 AND dst_id IS NOT NULL), x AS (SELECT src_type, src_id, dst_type, dst_id, edge_kind, max(confidence) AS confidence FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.src_type = new.src_type AND old.src_id = new.src_id AND old.dst_type = new.dst_type AND old.dst_id = new.dst_id AND old.edge_kind = new.edge_kind) GROUP BY ALL) SELECT x.src_type, x.src_id, x.dst_type, x.dst_id, x.edge_kind, x.confidence, n.node_id IS NULL AS dummy FROM x LEFT JOIN n ON n.node_type = x.dst_type AND n.node_id = x.dst_id")
+@query(f"WITH {EDGES}, {NODES}, old AS (SELECT * FROM e WHERE confidence >= 0.8), new AS (SELECT * FROM e WHERE confidence < 0.8 AND confidence >= 0.3 AND dst_id IS NOT NULL), x AS (SELECT src_type, src_id, dst_type, dst_id, edge_kind, max(confidence) AS confidence FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.src_type = new.src_type AND old.src_id = new.src_id AND old.dst_type = new.dst_type AND old.dst_id = new.dst_id AND old.edge_kind = new.edge_kind) GROUP BY ALL) SELECT x.src_type, x.src_id, x.dst_type, x.dst_id, x.edge_kind, x.confidence, n.node_id IS NULL AS dummy FROM x LEFT JOIN n ON n.node_type = x.dst_type AND n.node_id = x.dst_id")
 def ref_m7_edge_upsert(m):
     e = m.edges()
-    return D.upsert_edges(e.where("edge_id % 2 = 0"), e.where("edge_id % 2 = 1"), m.nodes()).drop("meta")
+    return D.upsert_edges(e.where("confidence >= 0.8"), e.where("confidence < 0.8"), m.nodes()).drop("meta")
 
 
 @query(f"WITH {_SQLT}, u AS (SELECT DISTINCT upper(unnest(regexp_extract_all(clean, '{_TAB}', 1))) AS table_name FROM x) SELECT table_name, 'INFERRED' AS status FROM u WHERE table_name NOT IN ('A','B','C','T','T1','T2','U','P','M') AND table_name NOT IN (SELECT upper(table_name) FROM db_tables)")
@@ -254,10 +254,10 @@ def ref_m8_inferred_tables(m):
     return D.inferred_tables(u, m.tables())
 
 
-@query("WITH a AS (SELECT coalesce(owner, '-') AS owner, table_name, max(status) AS status, max(table_comment) AS table_comment FROM db_tables GROUP BY 1, 2), b AS (SELECT owner, table_name, 'VALID' AS status, 'loaded' AS table_comment FROM a WHERE length(table_name) % 2 = 0 UNION ALL SELECT 'NEW', 'T_FRESH', 'VALID', NULL) SELECT coalesce(a.owner, b.owner) AS owner, coalesce(a.table_name, b.table_name) AS table_name, CASE WHEN b.status IS NOT NULL AND (a.status IS NULL OR starts_with(a.status, 'INFERRED')) THEN b.status ELSE a.status END AS status, CASE WHEN b.status IS NOT NULL THEN coalesce(b.table_comment, a.table_comment) ELSE a.table_comment END AS table_comment FROM a FULL JOIN b ON a.owner = b.owner AND a.table_name = b.table_name")
+@query("WITH a AS (SELECT coalesce(owner, '-') AS owner, table_name, max(status) AS status, max(table_comment) AS table_comment FROM db_tables GROUP BY 1, 2), b AS (SELECT owner, table_name, 'VALID' AS status, 'loaded' AS table_comment FROM a WHERE table_comment IS NULL UNION ALL SELECT 'NEW', 'T_FRESH', 'VALID', NULL) SELECT coalesce(a.owner, b.owner) AS owner, coalesce(a.table_name, b.table_name) AS table_name, CASE WHEN b.status IS NOT NULL AND (a.status IS NULL OR starts_with(a.status, 'INFERRED')) THEN b.status ELSE a.status END AS status, CASE WHEN b.status IS NOT NULL THEN coalesce(b.table_comment, a.table_comment) ELSE a.table_comment END AS table_comment FROM a FULL JOIN b ON a.owner = b.owner AND a.table_name = b.table_name")
 def ref_m9_catalog_upsert(m):
     a = m.tables().groupBy(F.coalesce("owner", F.lit("-")).alias("owner"), "table_name").agg(F.max("status").alias("status"), F.max("table_comment").alias("table_comment"))
-    b = a.where(F.length("table_name") % 2 == 0).select("owner", "table_name", F.lit("VALID").alias("status"), F.lit("loaded").alias("table_comment"))
+    b = a.where("table_comment is null").select("owner", "table_name", F.lit("VALID").alias("status"), F.lit("loaded").alias("table_comment"))
     b = b.unionByName(m.spark.createDataFrame([("NEW", "T_FRESH", "VALID", None)], "owner string, table_name string, status string, table_comment string"))
     return D.merged_catalog(a, b, ["owner", "table_name"])
 
@@ -268,11 +268,11 @@ def ref_m10_tables_of_columns(m):
     return D.orphan_column_tables(c, m.tables())
 
 
-@query(f"WITH {FILES}, a AS (SELECT file_id, hash FROM f WHERE file_id % 10 <> 1), b AS (SELECT file_id, CASE WHEN file_id % 7 = 0 THEN 'x' ELSE hash END AS hash FROM f WHERE file_id % 10 <> 2) SELECT coalesce(a.file_id, b.file_id) AS file_id, CASE WHEN a.file_id IS NULL THEN 'added' WHEN b.file_id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.file_id = b.file_id WHERE a.file_id IS NULL OR b.file_id IS NULL OR a.hash IS DISTINCT FROM b.hash")
+@query(f"WITH {FILES}, {CONTENTS}, a AS (SELECT file_id, hash FROM f), b AS (SELECT file_id, sha256(content) AS hash FROM t WHERE content IS NOT NULL) SELECT coalesce(a.file_id, b.file_id) AS file_id, CASE WHEN a.file_id IS NULL THEN 'added' WHEN b.file_id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.file_id = b.file_id WHERE a.file_id IS NULL OR b.file_id IS NULL OR a.hash IS DISTINCT FROM b.hash")
 def ref_incremental_changes(m):
-    f = m.files().select("file_id", "hash")
-    after = f.where("file_id % 10 <> 2").withColumn("hash", F.when(F.col("file_id") % 7 == 0, "x").otherwise(F.col("hash")))
-    return D.changed_files(f.where("file_id % 10 <> 1"), after, "file_id", "hash")
+    """Files whose recorded hash is not that of their present text."""
+    now = m.contents().where("content is not null").select("file_id", F.sha2("content", 256).alias("hash"))
+    return D.changed_files(m.files().select("file_id", "hash"), now, "file_id", "hash")
 
 
 # K: exports ------------------------------------------------------------------------
@@ -303,9 +303,9 @@ def ref_k8_reads(m):
     return m.nodes().where((F.col("file_id") == 10) | F.col("label").contains("DepotDao")).select("node_type", "node_id", "label")
 
 
-@query("SELECT count(*) - 1 AS rows FROM (SELECT unnest(string_split(content, chr(10))) AS line FROM (SELECT file_id, max(content) AS content FROM file_contents GROUP BY 1) WHERE file_id = 1)")
+@query("SELECT file_id, len(string_split(content, chr(10))) - 1 AS rows FROM (SELECT file_id, max(content) AS content FROM file_contents GROUP BY 1) WHERE content IS NOT NULL")
 def ref_s10_row_estimate(m):
-    return X.lines(m.contents().where("file_id = 1"), "file_id", "content").agg((F.count(F.lit(1)) - 1).alias("rows"))
+    return m.contents().where("content is not null").select("file_id", (F.size(F.split("content", "\n")) - 1).alias("rows"))
 
 
 @query("SELECT project_id, name, root_path FROM projects")

@@ -29,15 +29,16 @@ def pct(column: str = "confidence"):
 
 
 # P: projections, filters, predicates ------------------------------------------
-@query(f"WITH {EDGES} SELECT edge_id, edge_kind, confidence FROM e WHERE edge_kind IN ('call', 'use_table') AND (confidence >= 0.8 OR confidence IS NULL) AND project_id = 3")
+@query(f"WITH {EDGES} SELECT edge_id, edge_kind, confidence FROM e WHERE edge_kind IN ('call', 'use_table') AND (confidence >= 0.8 OR confidence IS NULL) AND src_type <> 'file'")
 def ref_p1_boolean_filters(m):
     kind = F.col("edge_kind").isin("call", "use_table")
-    return m.edges().where(kind & ((F.col("confidence") >= 0.8) | F.col("confidence").isNull()) & (F.col("project_id") == 3)).select("edge_id", "edge_kind", "confidence")
+    return m.edges().where(kind & ((F.col("confidence") >= 0.8) | F.col("confidence").isNull()) & (F.col("src_type") != "file")).select("edge_id", "edge_kind", "confidence")
 
 
-@query(f"WITH {EDGES}, {COMPONENTS} SELECT edge_id, src_id, dst_id FROM e WHERE src_type = 'method' AND src_id IN (SELECT component_id FROM c WHERE project_id = 5 AND component_type = 'method')")
+@query(f"WITH {EDGES}, {COMPONENTS} SELECT edge_id, src_id, dst_id FROM e WHERE src_type = 'method' AND src_id IN (SELECT component_id FROM c WHERE component_type = 'method' AND project_id IN (SELECT project_id FROM projects WHERE name IS NOT NULL))")
 def ref_p2_scoped_ids(m):
-    scope = m.components().where("project_id = 5 and component_type = 'method'")
+    named = m.projects().where("name is not null")
+    scope = R.scoped(m.components().where("component_type = 'method'"), "project_id", named, "project_id")
     return R.scoped(m.edges().where("src_type = 'method'"), "src_id", scope, "component_id").select("edge_id", "src_id", "dst_id")
 
 
@@ -87,9 +88,9 @@ def ref_p11_node_details(m):
     return m.nodes()
 
 
-@query(f"WITH {EDGES}, {NODES} SELECT e.edge_id, n.project_id FROM e JOIN n ON n.node_type = e.src_type AND n.node_id = e.src_id WHERE n.project_id = 7 AND e.src_type <> 'table'")
+@query(f"WITH {EDGES}, {NODES} SELECT e.edge_id, n.project_id FROM e JOIN n ON n.node_type = e.src_type AND n.node_id = e.src_id WHERE n.project_id IS NOT NULL AND e.src_type <> 'table'")
 def ref_p12_project_edges(m):
-    return R.project_edges(m.edges(), m.nodes(), 7).select("edge_id", F.lit(7).cast("long").alias("project_id"))
+    return R.project_edges(m.edges(), m.nodes()).select("edge_id", "project_id")
 
 
 # J: joins ----------------------------------------------------------------------

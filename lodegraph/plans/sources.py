@@ -53,9 +53,9 @@ def ref_s3_schema_csv(m):
     return x.select(F.coalesce("OWNER", F.lit("")).alias("owner"), F.col("TABLE_NAME").alias("table_name"), F.col("COMMENTS").alias("comments"))
 
 
-@query("WITH k AS (SELECT upper(trim(owner)) AS o, upper(trim(table_name)) AS t, 'C ' || min(table_id) AS c FROM db_tables WHERE table_id % 3 = 0 AND owner IS NOT NULL GROUP BY 1, 2) SELECT d.table_id, coalesce(k.c, d.table_comment) AS table_comment FROM db_tables d LEFT JOIN k ON k.o = upper(d.owner) AND k.t = upper(d.table_name)")
+@query("WITH k AS (SELECT upper(trim(owner)) AS o, upper(trim(table_name)) AS t, 'C ' || min(table_id) AS c FROM db_tables WHERE table_comment IS NULL AND owner IS NOT NULL GROUP BY 1, 2) SELECT d.table_id, coalesce(k.c, d.table_comment) AS table_comment FROM db_tables d LEFT JOIN k ON k.o = upper(d.owner) AND k.t = upper(d.table_name)")
 def ref_s4_comment_csv(m):
-    c = m.tables().where("table_id % 3 = 0 and owner is not null").groupBy(F.lower("owner").alias("OWNER"), F.lower("table_name").alias("TABLE_NAME")).agg(F.concat(F.lit("C "), F.min("table_id").cast("string")).alias("COMMENTS"))
+    c = m.tables().where("table_comment is null and owner is not null").groupBy(F.lower("owner").alias("OWNER"), F.lower("table_name").alias("TABLE_NAME")).agg(F.concat(F.lit("C "), F.min("table_id").cast("string")).alias("COMMENTS"))
     return scans.comment_csv(m.tables().select("table_id", "owner", "table_name", "table_comment"), c).select("table_id", "table_comment")
 
 
@@ -81,20 +81,19 @@ def ref_s6_archive_classes(m):
     return scans.archive_classes(x.groupBy("project").applyInPandas(pack, "path string, content binary")).select("path", "class_name")
 
 
-@query(f"WITH {CONTENTS} SELECT length(content) AS n, count(*) AS files FROM t WHERE file_id <= 200 AND content IS NOT NULL AND content <> '' GROUP BY 1")
+@query(f"WITH {CONTENTS} SELECT length(content) AS n, count(*) AS files FROM t WHERE content IS NOT NULL AND content <> '' GROUP BY 1")
 def ref_s7_whole_texts(m):
-    """Texts written as files to the shared folder and read back whole."""
+    """Texts written to the shared folder, a tree with a folder per project, and read back whole."""
     root = shared_folder(m.spark, "tree")
+    x = m.contents().where("content is not null and content <> ''").join(m.files().select("file_id", F.coalesce("project_id", F.lit(-1)).alias("project")), "file_id")
+    x.select("content", "project").write.partitionBy("project").option("lineSep", "\x01").text(root)
+    back = scans.whole_texts(m.spark, root, ["**/*.txt"], []).select(F.explode(F.split("content", "\x01")).alias("content"))
+    return back.where("content <> ''").groupBy(F.length("content").alias("n")).agg(F.count(F.lit(1)).alias("files"))
 
-    x = m.contents().where("file_id <= 200 and content is not null and content <> ''").select("content", F.col("file_id").cast("string").alias("id"))
-    x.repartition(8, "id").write.partitionBy("id").option("lineSep", "\x01").text(root)
-    back = scans.whole_texts(m.spark, root, ["**/*.txt"], []).select(F.regexp_replace("content", "\x01$", "").alias("content"))
-    return back.groupBy(F.length("content").alias("n")).agg(F.count(F.lit(1)).alias("files"))
 
-
-@query(f"WITH {EDGES} SELECT CAST(to_json({{'id': edge_id, 'source': src_type || ':' || src_id, 'target': dst_type || ':' || dst_id, 'kind': edge_kind}}) AS VARCHAR) AS value FROM e WHERE dst_id IS NOT NULL AND project_id = 2")
+@query(f"WITH {EDGES} SELECT CAST(to_json({{'id': edge_id, 'source': src_type || ':' || src_id, 'target': dst_type || ':' || dst_id, 'kind': edge_kind}}) AS VARCHAR) AS value FROM e WHERE dst_id IS NOT NULL")
 def ref_k1_json_edges(m):
-    e = m.edges().where("dst_id is not null and project_id = 2")
+    e = m.edges().where("dst_id is not null")
     return e.select(F.to_json(F.struct(F.col("edge_id").alias("id"), F.concat_ws(":", "src_type", "src_id").alias("source"), F.concat_ws(":", "dst_type", "dst_id").alias("target"), F.col("edge_kind").alias("kind"))).alias("value"))
 
 

@@ -194,9 +194,9 @@ def ref_f28_learning_priority(m):
     return m.files().where("loc is not null").withColumn("level", level).select("file_id", "level", F.least(F.lit(5), F.greatest(F.lit(1), base)).alias("priority"))
 
 
-@query("WITH a AS (SELECT DISTINCT table_name FROM db_tables WHERE owner = 'APP') SELECT table_name, levenshtein(table_name, 'T_VENDOR_MST') AS distance FROM a ORDER BY distance, table_name LIMIT 5")
+@query("WITH a AS (SELECT DISTINCT table_name FROM db_tables) SELECT table_name, levenshtein(table_name, 'T_VENDOR_MST') AS distance FROM a ORDER BY distance, table_name LIMIT 5")
 def ref_f30_close_matches(m):
-    return X.close_matches(m.tables().where("owner = 'APP'").select("table_name").distinct(), "table_name", "T_VENDOR_MST", 5)
+    return X.close_matches(m.tables().select("table_name").distinct(), "table_name", "T_VENDOR_MST", 5)
 
 
 @query(f"WITH {EDGES} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM e GROUP BY 1")
@@ -269,10 +269,10 @@ def ref_c4_enrichment_delta(m):
     return x.select("edge_id", F.floor(F.col("c") * 1000 + 0.5000001).cast("long").alias("millis"))
 
 
-@query("WITH g AS (SELECT unnest(range(30, 55, 5)) AS a), h AS (SELECT unnest(range(20, 45, 5)) AS b), w AS (SELECT a, b, 100 - a - b AS c FROM g, h WHERE 100 - a - b BETWEEN 5 AND 40), t AS (SELECT DISTINCT file_id % 11 AS x, file_id % 7 AS y, file_id % 5 AS z, file_id % 13 AS truth FROM files WHERE file_id <= 500), m AS (SELECT a, b, c, sum(abs(a * x + b * y + c * z - 80 * truth)) AS err FROM w, t GROUP BY ALL) SELECT a, b, c, CAST(err AS BIGINT) AS err FROM m ORDER BY err, a, b LIMIT 1")
+@query("WITH g AS (SELECT unnest(range(30, 55, 5)) AS a), h AS (SELECT unnest(range(20, 45, 5)) AS b), w AS (SELECT a, b, 100 - a - b AS c FROM g, h WHERE 100 - a - b BETWEEN 5 AND 40), t AS (SELECT DISTINCT file_id % 11 AS x, file_id % 7 AS y, file_id % 5 AS z, file_id % 13 AS truth FROM files), m AS (SELECT a, b, c, sum(abs(a * x + b * y + c * z - 80 * truth)) AS err FROM w, t GROUP BY ALL) SELECT a, b, c, CAST(err AS BIGINT) AS err FROM m ORDER BY err, a, b LIMIT 1")
 def ref_c5_weight_calibration(m):
     i = F.col("file_id")
-    truth = m.raw("files").where("file_id <= 500").select((i % 11).alias("x"), (i % 7).alias("y"), (i % 5).alias("z"), (i % 13).alias("truth")).distinct()
+    truth = m.raw("files").select((i % 11).alias("x"), (i % 7).alias("y"), (i % 5).alias("z"), (i % 13).alias("truth")).distinct()
     return X.calibrate(truth, range(30, 55, 5), range(20, 45, 5))
 
 
