@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.session import cut
+from lodegraph.session import cut, width
 
 #: Code pages considered; those with "+" read their undefined bytes as C1 controls, as browsers do.
 READ_AS = ["cp1252+", "latin_1", "cp1250+", "cp1251+", "cp1253+", "cp1254+", "iso8859_2", "iso8859_15", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp866", "koi8_r"]
@@ -66,6 +66,7 @@ def _gaps(page: str) -> dict[str, bytes]:
     return {chr(i): bytes([i]) for i in range(0x80, 0xA0) if not bytes([i]).decode(page, errors="ignore")}
 
 
+_BLANKS = re.compile(r"[\x00-\x20]+")
 _TOKEN = re.compile(r"[^\x00-\x20]+")
 _WIDE_CHARS = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힣豈-﫿＀-￯]+")
 
@@ -185,9 +186,11 @@ def pieces(token: str) -> list[str]:
 
 
 def words(text: str) -> Iterator[str]:
-    for m in _TOKEN.finditer(text):
-        t = m.group()
+    for t in _BLANKS.split(text):
         if not t.isascii():
+            if not _WIDE_CHARS.search(t):
+                yield t
+                continue
             for p in pieces(t):
                 if not p.isascii():
                     yield p
@@ -228,34 +231,36 @@ class Model:
     def __init__(self, pairs: np.ndarray, singles: np.ndarray, shares: dict):
         self.pairs, self.singles, self.shares = pairs, singles, shares
 
-    def posterior(self, word: str, options: list, source) -> tuple[float, str | None, float]:
-        """(weight of clean, best cipher, its posterior)."""
-        clean = score(word, self.pairs, self.singles)
-        own, base = self.shares.get(source), self.shares.get("", {})
-        logs = []
-        for cipher, text in options:
-            share = (own or base).get(cipher, 0.0) / 2 + base.get(cipher, 0.0) / 2 + START_SHARE.get(cipher.partition(">")[2], START_SHARE[""])
-            logs.append(score(text, self.pairs, self.singles) + math.log(share))
-        if not logs:
+    def weighed(self, word: str, options: list) -> tuple[float, list[tuple[str, float]]]:
+        """Log likelihood of the word as it stands, and of its readings by cipher; no source matters here."""
+        return score(word, self.pairs, self.singles), [(c, score(t, self.pairs, self.singles)) for c, t in options]
+
+    def posterior(self, clean: float, scored: list[tuple[str, float]], source) -> tuple[float, str | None, float]:
+        """(weight of clean, best cipher, its posterior) for a source's shares."""
+        if not scored:
             return 1.0, None, 0.0
+        base = self.shares.get("", {})
+        own = self.shares.get(source) or base
+        logs = [x + math.log(own.get(c, 0.0) / 2 + base.get(c, 0.0) / 2 + START_SHARE.get(c.partition(">")[2], START_SHARE[""])) for c, x in scored]
         top = max([clean, *logs])
         weights = [math.exp(x - top) for x in logs]
         total = math.exp(clean - top) + sum(weights)
         best = max(range(len(logs)), key=lambda i: logs[i])
-        return math.exp(clean - top) / total, options[best][0], weights[best] / total
+        return math.exp(clean - top) / total, scored[best][0], weights[best] / total
 
-    def judge(self, word: str, source) -> tuple[str | None, dict[str, float]]:
+    def view(self, word: str) -> tuple[float, list[tuple[str, float]], dict[str, float]]:
+        """What :meth:`judge` needs of a word whatever its source: scores, and what each cipher would gain."""
+        clean, scored = self.weighed(word, readings(word))
+        return clean, scored, {c: x - clean for c, x in scored if x - clean > WEAK_GAIN}
+
+    def judge(self, word: str, source, view=None) -> tuple[str | None, dict[str, float]]:
         """The cipher that garbled ``word``, or None, and what likelihood each cipher would gain."""
-        options = readings(word)
-        if not options:
-            return None, {}
-        before = score(word, self.pairs, self.singles)
-        gains = {c: g for c, t in options if (g := score(t, self.pairs, self.singles) - before) > WEAK_GAIN}
+        clean, scored, gains = view or self.view(word)
         if not gains:
             return None, gains
-        clean, cipher, _ = self.posterior(word, options, source)
+        stays, cipher, _ = self.posterior(clean, scored, source)
         least = MIN_POSTERIOR.get((cipher or "").partition(">")[2], MIN_POSTERIOR[""])
-        sure = 1 - clean >= least and gains.get(cipher, 0.0) >= MIN_GAIN
+        sure = 1 - stays >= least and gains.get(cipher, 0.0) >= MIN_GAIN
         return (cipher if sure else None), gains
 
 
@@ -269,14 +274,17 @@ def _flush(kind: int, source: str, counts: dict) -> pd.DataFrame:
 def _statistics(model: Model | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs, singles, shares = defaultdict(float), defaultdict(float), defaultdict(lambda: defaultdict(float))
+        last, options, seen = None, [], (0.0, [])
         for pdf in batches:
-            for word, source, n, options in zip(pdf["word"], pdf["source"], pdf["n"], pdf["options"]):
-                options = [(o["cipher"], o["text"]) for o in options]
+            for word, source, n, given in zip(pdf["word"], pdf["source"], pdf["n"], pdf["options"]):
+                if word != last:  # rows of a word stand together
+                    last, options = word, [(o["cipher"], o["text"]) for o in given]
+                    seen = model.weighed(word, options) if model is not None and options else (0.0, [])
                 if model is None or not options:
                     # at the start, words that some cipher explains speak for the languages in part only
                     _count(word, n * (AMBIGUOUS if options else 1.0), pairs, singles)
                     continue
-                clean, cipher, p = model.posterior(word, options, source)
+                clean, cipher, p = model.posterior(*seen, source)
                 if clean > 1e-6:
                     _count(word, n * clean, pairs, singles)
                 if p > 1e-6:
@@ -298,8 +306,9 @@ def _statistics(model: Model | None):
 def _fit(stats: DataFrame) -> Model:
     pairs, singles = np.zeros(CELLS, dtype=np.float32), np.zeros(CELLS, dtype=np.float32)
     sums = cut(stats.groupBy("kind", "source", "key").agg(F.sum("weight").alias("weight")))
-    for kind, table in ((0, pairs), (1, singles)):  # at most CELLS rows each
-        got = sums.where(F.col("kind") == kind).select(F.col("key").cast("int").alias("k"), "weight").toPandas()
+    cells = sums.where("kind < 2").select("kind", F.col("key").cast("int").alias("k"), "weight").toPandas()  # at most 2 * CELLS rows
+    for kind, table in ((0, pairs), (1, singles)):
+        got = cells[cells["kind"] == kind]
         table[got["k"].to_numpy(dtype=int)] = got["weight"].to_numpy()
     shares: dict = {}
     rows = sums.where("kind = 2")
@@ -331,21 +340,20 @@ def word_table(documents: DataFrame, text_col: str, source_col: str) -> DataFram
             yield pd.DataFrame([(w, s, n) for (w, s), n in counts.items()], columns=["word", "source", "n"])
 
     def options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+        last, found = None, []
         for pdf in batches:
             out = []
             for w in pdf["word"]:
-                if w not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[w] = [{"cipher": c, "text": t} for c, t in ([] if LOSS in w else readings(w))]
-                out.append(known[w])
+                if w != last:
+                    last, found = w, [{"cipher": c, "text": t} for c, t in ([] if LOSS in w else readings(w))]
+                out.append(found)
             pdf["options"] = out
             yield pdf
 
     rows = documents.select(F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     counts = rows.mapInPandas(extract, "word string, source string, n long").groupBy("word", "source").agg(F.sum("n").alias("n"))
-    return counts.mapInPandas(options, "word string, source string, n long, options array<struct<cipher:string,text:string>>")
+    together = counts.repartition(width(documents.sparkSession), "word").sortWithinPartitions("word")
+    return together.mapInPandas(options, "word string, source string, n long, options array<struct<cipher:string,text:string>>")
 
 
 def learn(documents: DataFrame, text_col: str, source_col: str, rounds: int = ROUNDS) -> Model:
@@ -380,6 +388,8 @@ def mend(text: str, source, judge) -> tuple[str, int, int]:
             for cipher, gain in views[w][1].items():
                 weak[cipher] += gain
                 seen[cipher] += 1
+    if not weak and LOSS not in text:
+        return text, 0, 0  # no reading of any word is likelier than the word
     together = max((c for c in weak if seen[c] >= WEAK_WORDS and weak[c] >= WEAK_TOTAL), key=lambda c: (weak[c], c), default=None)
     # A lone character proves little: some other word has to speak for its cipher.
     spoken = {v[0] for w, v in views.items() if not _lone(w)}
@@ -418,12 +428,12 @@ def repair(documents: DataFrame, id_col: str, text_col: str, source_col: str, mo
         known: dict = {}
 
         def judge(w, s):
-            key = (w, s if s in shared.value.shares else "")
-            if key not in known:
+            view = known.get(w)
+            if view is None:
                 if len(known) > 200_000:
                     known.clear()
-                known[key] = shared.value.judge(w, s)
-            return known[key]
+                view = known[w] = shared.value.view(w)
+            return shared.value.judge(w, s, view)
 
         for pdf in batches:
             out = [mend(t, s, judge) for t, s in zip(pdf["text"], pdf["source"])]
