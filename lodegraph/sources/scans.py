@@ -22,7 +22,8 @@ SCHEMAS = {
 
 
 def _glob(pattern: str) -> str:
-    return fnmatch.translate(pattern.removeprefix("**/")).replace("(?s:", "").rstrip("\\Z").rstrip("\\z").rstrip(")")
+    """A glob's regular expression, without the wrapping that only Python understands."""
+    return re.sub(r"^\(\?s:(.*)\)\\[zZ]$", r"\1", fnmatch.translate(pattern.removeprefix("**/")), flags=re.S)
 
 
 def included(path: str, include: list[str], exclude: list[str]) -> Column:
