@@ -45,12 +45,12 @@ WRITTEN_WIDE = {"utf_8", "cp949", "euc_jp", "cp932", "gbk", "big5"}
 TWICE = "utf_8*2"
 
 #: Size of the bigram table (cells), smoothing, least share of a cipher by the page written, start weight of ambiguous
-#: words, rounds, and the decision.
+#: words, rounds at most, change of the garbled share at which they end, and the decision.
 CELLS = 1 << 20
 ALPHA, SPREAD = 0.02, 4000
 START_SHARE = {"utf_8": 1e-3, "": 1e-4}
 AMBIGUOUS = 0.05
-ROUNDS = 5
+ROUNDS, SETTLED = 12, 0.0005
 #: UTF-8 checks itself: a reading that is valid needs less of the bigrams.
 MIN_POSTERIOR = {"utf_8": 0.4, "": 0.9}
 MIN_GAIN = 3.0
@@ -359,8 +359,13 @@ def word_table(documents: DataFrame, text_col: str, source_col: str) -> DataFram
 def learn(documents: DataFrame, text_col: str, source_col: str, rounds: int = ROUNDS) -> Model:
     table = cut(word_table(documents, text_col, source_col))
     model = _fit(table.mapInPandas(_statistics(None), _STATS))
+    mass = None
     for _ in range(rounds):
         model = _fit(_spread(table, model))
+        now = sum(model.shares[""].values())  # the share of words taken for garbled
+        if mass is not None and abs(now - mass) <= SETTLED * mass:
+            break
+        mass = now
     return model
 
 
