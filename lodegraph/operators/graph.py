@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodegraph.session import cut
 
 ROUNDS = 60
+MERGE = 8  # rounds after which what was seen is written as one frame
 
 
 def keyed(edges: DataFrame) -> DataFrame:
@@ -57,17 +58,20 @@ def trace(edges: DataFrame, starts: DataFrame, depth: int, unresolved: bool = Tr
     return x.select("edge_id", "depth", "src", F.coalesce("dst", F.concat(F.lit("unresolved:"), F.col("edge_id").cast("string"))).alias("dst"))
 
 
-def chain_depth(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """Longest distance reached from each start: (start, depth, nodes)."""
-    links = edges.where("dst is not null").select("src", "dst").distinct()
-    seen = cut(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for d in range(1, depth + 1):
+def chain_depth(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """Longest distance reached from each start: (start, depth, nodes); without ``depth`` until no new node is found."""
+    links = cut(edges.where("dst is not null").select("src", "dst").distinct())
+    front = cut(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
+    seen, d = front, 0
+    while depth is None or d < depth:
+        d += 1
         nxt = front.join(links, front["node"] == links["src"]).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
         front = cut(nxt)
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
+        if d % MERGE == 0:
+            seen = cut(seen)
     return seen.groupBy("start").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("nodes"))
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import __spark_entry__ as entry
 from lodegraph.operators import graph as G
 
 
@@ -73,3 +74,29 @@ def test_levels_and_cycles(spark):
 def test_empty(spark):
     e = frame(spark, [])
     assert G.components(e).collect() == [] and G.topological_levels(e).collect() == [] and G.mutual(e).collect() == []
+
+
+def test_chains_to_their_end(spark):
+    links = rand(5) + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(21)] + [("c21", "c10")]
+    pairs = [(a, b) for a, b in links if b]
+    starts = ["c00", "c05", links[0][0]]
+    frame_of = spark.createDataFrame([(s,) for s in starts], "node string")
+    for depth in (None, 4):
+        want = {s: (max(v.values()), len(v)) for s in starts for v in [bfs(s, pairs, depth or len(links))]}
+        assert {r.start: (r.depth, r.nodes) for r in G.chain_depth(frame(spark, links), frame_of, depth).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    """Edges of two kinds: calls in a chain of 12 methods, with files that join it."""
+    d = str(tmp_path_factory.mktemp("store"))
+    rows = [(i, 1, "METHOD", i, "method", i + 1, "call", 0.5, None, None) for i in range(11)]
+    rows += [(20, 1, "file", 1, "method", 0, "import", 0.5, None, None), (21, 1, "class", 7, "class", 8, "implements", 0.5, None, None), (22, 1, "class", 9, None, None, "extends", 0.5, None, None)]
+    columns = "edge_id long, project_id long, src_type string, src_id long, dst_type string, dst_id long, edge_kind string, confidence double, meta string, created_at timestamp"
+    spark.createDataFrame(rows + rows[:2], columns).write.parquet(f"{d}/edges.parquet")
+    return d
+
+
+def test_full_chain_depth_query(spark, store):
+    got = {r.start: (r.depth, r.nodes) for r in entry.queries()["ref_g6_full_chain_depth"](spark, store).collect()}
+    assert got == {f"method:{i}": (11 - i, 12 - i) for i in range(11)}
