@@ -98,7 +98,7 @@ def ref_g8_two_cycles(m):
 
 @query()
 def ref_g9_communities(m):
-    return G.label_propagation(G.keyed(m.edges().where("edge_kind in ('include', 'import', 'extends')")))
+    return G.label_propagation(G.keyed(m.edges()))
 
 
 @query(f"WITH RECURSIVE {_KEYED}, p AS (SELECT DISTINCT src, dst FROM k WHERE dst IS NOT NULL AND edge_kind = 'implements'), u AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p), b AS (SELECT DISTINCT src AS node, src AS root FROM u UNION SELECT u.dst, b.root FROM b JOIN u ON u.src = b.node WHERE b.root < u.dst OR true) SELECT node, min(root) AS component FROM b GROUP BY 1")
@@ -106,6 +106,12 @@ def ref_g9_connected_components(m):
     return G.components(G.keyed(m.edges().where("edge_kind = 'implements'")))
 
 
+@query()
+def ref_g9_all_components(m):
+    """As :func:`ref_g9_connected_components`, whose SQL takes only implements edges, but over all resolved edges."""
+    return G.components(G.keyed(m.edges()))
+
+
 @query(f"WITH {EDGES}, {FILES}, {UNITS}, d AS (SELECT 'file:' || file_id AS node, regexp_extract(path, '^([^/]+/[^/]+)', 1) AS cluster FROM f), t AS (SELECT 'sql_unit:' || src_id AS node, 'table:' || max(dst_id) AS cluster FROM e WHERE edge_kind = 'use_table' AND dst_type = 'table' AND dst_id IS NOT NULL AND src_type = 'sql_unit' GROUP BY 1) SELECT node, cluster FROM d UNION ALL SELECT node, cluster FROM t")
 def ref_g10_rule_clusters(m):
     d = m.files().select(F.concat(F.lit("file:"), F.col("file_id").cast("string")).alias("node"), F.regexp_extract("path", "^([^/]+/[^/]+)", 1).alias("cluster"))

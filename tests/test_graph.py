@@ -100,3 +100,11 @@ def store(spark, tmp_path_factory):
 def test_full_chain_depth_query(spark, store):
     got = {r.start: (r.depth, r.nodes) for r in entry.queries()["ref_g6_full_chain_depth"](spark, store).collect()}
     assert got == {f"method:{i}": (11 - i, 12 - i) for i in range(11)}
+
+
+def test_components_and_communities_take_all_edges(spark, store):
+    nodes = {f"method:{i}" for i in range(12)} | {"file:1", "class:7", "class:8"}
+    got = {r.node: r.component for r in entry.queries()["ref_g9_all_components"](spark, store).collect()}
+    assert got == {n: "class:7" if n.startswith("class") else "file:1" for n in nodes}
+    labels = {r.node: r.label for r in entry.queries()["ref_g9_communities"](spark, store).collect()}
+    assert set(labels) == nodes and {labels[n] for n in ("class:7", "class:8")} <= {"class:7", "class:8"}
