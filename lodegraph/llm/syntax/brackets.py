@@ -164,35 +164,42 @@ class Language:
             if a == last:
                 return None if r.trailing or r.holes else last - 1
 
+    def _cut(self, types: list, i: int) -> bool:
+        """A statement may end with token ``i``."""
+        t, n = types[i], len(types)
+        return (t == self.semicolon and (i + 1 == n or types[i + 1] not in self.joins)) or (isinstance(t, tuple) and t[0] == self.block and (i + 1 == n or _opening(types[i + 1]) not in self.continues))
+
     def _statements(self, item: str, content: list) -> int | None:
         types = [t for t, _ in content]
-        a, n = 0, len(types)
+        a, i, n = 0, 0, len(types)
         parse = self.recogniser.parse
-        failed = None
-        i = 0
+        whole = types if not self.end or types[-1] == self.semicolon else [*types, self.end]
+        cuts = None  # where statements may end, once a cut was wrong
+        wrong = None  # start of the first statement that a wrong cut divided
         while i < n:
-            t = types[i]
-            cut = (t == self.semicolon and (i + 1 == n or types[i + 1] not in self.joins)) or (isinstance(t, tuple) and t[0] == self.block and (i + 1 == n or _opening(types[i + 1]) not in self.continues))
-            if cut or i + 1 == n:
+            if self._cut(types, i) or i + 1 == n:
                 part = types[a : i + 1]
                 if self.end and part[-1] != self.semicolon:
                     part.append(self.end)
-                fault = 0 if self.block_first and isinstance(part[0], tuple) and part[0][0] == "B" and "block" not in part[0][1] else parse(item, tuple(part))
+                if self.block_first and isinstance(part[0], tuple) and part[0][0] == "B" and "block" not in part[0][1]:
+                    return a
+                fault = parse(item, tuple(part))
                 if fault >= 0:
                     failed = a + min(fault, i - a)
-                    break
+                    if fault > i - a and i + 1 < n:
+                        # nothing is wrong yet, so the cut may be: the statement goes on to a later one
+                        cuts = cuts or {k + 1 for k in range(n) if self._cut(types, k)}
+                        to, ok = self.recogniser.first(item, whole, a, cuts)
+                        if ok:
+                            wrong = a if wrong is None else wrong
+                            a = i = to
+                            continue
+                        failed = max(failed, min(to, n - 1))
+                    if wrong is None:
+                        return failed
+                    # a later cut may have been wrong as well: all from the first one as one sequence decides
+                    to, ok = self.recogniser.first(item, whole, wrong, set())
+                    return None if ok else max(failed, min(to, n - 1))
                 a = i + 1
             i += 1
-        if failed is None:
-            return None
-        first = types[a]
-        if (a == 0 and i + 1 == n) or (self.block_first and isinstance(first, tuple) and first[0] == "B" and "block" not in first[1]):
-            return failed
-        # a cut may have been wrong: the rest as one sequence decides
-        rest = types[a:]
-        if self.end and rest[-1] != self.semicolon:
-            rest.append(self.end)
-        if len(rest) > 3000:
-            return failed
-        fault = parse(item, tuple(rest))
-        return None if fault < 0 else max(failed, min(a + fault, n - 1))
+        return None

@@ -189,10 +189,15 @@ class Recogniser:
             lengths.add(got + 1)
         return got
 
-    def _earley(self, start: int, tokens: tuple) -> int:
+    def first(self, start: str, tokens: list, at: int, ends: set) -> tuple[int, bool]:
+        """Where the shortest part of ``tokens`` from ``at`` to one of ``ends`` (or the end) that derives from ``start`` ends, and True; or the first fault and False."""
+        got = self._earley(self.grammar.nonterminal[start], tokens, at, ends)
+        return (len(tokens) if got == -1 else at - 1 - got, True) if got < 0 else (at + got, False)
+
+    def _earley(self, start: int, tokens: tuple | list, at: int = 0, ends: set | tuple = ()) -> int:
         g = self.grammar
         after, owner, nullable = g.after, g.owner, g.nullable
-        n = len(tokens)
+        n = len(tokens) - at
         # chart[i]: for each symbol awaited at i, the (item, origin) pairs that wait for it
         waiting: list[dict[int, list[tuple[int, int]]]] = []
         current = {(k, 0) for k in g.closure(start)}
@@ -236,8 +241,10 @@ class Recogniser:
             if i == n:
                 accept = accept or accept_here
                 break
+            if accept_here and i and at + i in ends:
+                return -1 - i
             following = set()
-            for t in self.symbols(tokens[i]):
+            for t in self.symbols(tokens[at + i]):
                 for p, o in wait.get(t, ()):
                     following.add((p + 1, o))
             if not following:

@@ -81,3 +81,14 @@ def test_rows(spark):
     rates = {(r.project_id, r.language): (r.files, r.invalid) for r in P.error_rates(P.parse_files(contents, files)).collect()}
     assert rates[(1, "java")] == (2, 1)
     assert P.parse_files(contents.where("false"), files).collect() == []
+
+
+@pytest.mark.parametrize(("language", "around"), [("javascript", "%s"), ("java", "class A { void f() { %s } }")])
+def test_wrong_cuts_before_long_rests(language, around):
+    rest = "a = b(c);\n" * 1500  # 6 symbols each
+    for start, valid in [("do x(); while (y);\n", True), ("do do x(); while (y); while (z);\n", True), ("do if (q) x(); else z(); while (y);\n", True), ("do x(); y();\n", False), ("do x();\n", False)]:
+        for n in (0, 1, 1500):
+            text = around % (rest[: 10 * n] + start + rest[: 10 * n])
+            assert (P.first_error(text, language) is None) == valid, (start, n)
+    text = around % ("do x(); while (y);\n" + rest + "a = = b;\n" + rest)
+    assert P.first_error(text, language) is not None
