@@ -8,7 +8,8 @@ a rule has the same name in every file and on every machine. Two grammars are in
 * Over token classes (identifiers, numbers and strings abstracted): rules say how a file is built.
   A rule's voice is the share of files with it that call themselves generated; a file that mostly
   expands from rules of generated files is generated, whether or not it says so itself, and so is
-  one that says so and is mostly made of reused rules. Comments alone decide nothing.
+  one that says so and is mostly made of reused rules. Comments alone decide nothing. The whole text
+  is searched for such comments; those before the first code token, however long, head the file.
 * Over literal tokens, where pairs are chosen by hash instead of by count, so that equal stretches
   give equal rules in any context: each rule names the first file that has it (copies of catalogued
   files first). A file that mostly expands from rules of one such file is a copy of it; copies in
@@ -60,6 +61,7 @@ _KEYWORDS = set(
 MARKER = re.compile(
     r"(?im)^[ \t]*(?:/\*+!?|\*|//+|--+|#+|<!--|<%--)?[ \t]*(?:@?(?:auto-?)?generated\b|<auto-generated|(?:code|file|source) generated by|this (?:file|code|source) (?:was|is|has been) (?:auto|generated|machine|produced)|do not (?:edit|modify)\b|machine[- ](?:made|generated)\b|@[\w.]*Generated\()|자동 생성"
 )
+ANNOTATION = re.compile(r"(?m)^[ \t]*@[\w.]*Generated\(")
 
 _STRINGS = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`'
 
@@ -205,27 +207,32 @@ def extension(path: str | None) -> str:
     return (path or "").rpartition("/")[2].rpartition(".")[2].lower() if "." in (path or "").rpartition("/")[2] else ""
 
 
-def _marked(text: str, start: int, end: int) -> bool:
-    part = text[start:end]
-    low = part.lower()
-    return any(h in low for h in ("generated", "do not ", "machine", "produced", "자동")) and bool(MARKER.search(part))
+def _marked(text: str, pattern: re.Pattern) -> bool:
+    """A comment that begins its line, anywhere in the text, or an annotation calls the file generated."""
+    if ANNOTATION.search(text):
+        return True
+    return bool(MARKER.search(text)) and any(
+        MARKER.search(t) and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip() for m in pattern.finditer(text) for t in (m.group(),) if _class_of(t) == _COMMENT
+    )
 
 
 def describe(text: str, ext: str, lexicon: Lexicon) -> tuple[tuple, np.ndarray, np.ndarray]:
     """Plain measures of a file, and its token classes and token hashes without comments."""
-    tokens = _TOKENS.get({"yaml": "yml"}.get(ext, ext), _DEFAULT).findall(text)
+    pattern = _TOKENS.get({"yaml": "yml"}.get(ext, ext), _DEFAULT)
+    tokens = pattern.findall(text)
     ids = lexicon.numbers(tokens)
     kind, length = lexicon.kind[ids], lexicon.length[ids]
     comment = kind == _COMMENT
-    marked = _marked(text, 0, 2500)
-    headed = False
-    if marked:
+    marked = headed = False
+    low = text.lower()
+    if any(h in low for h in ("generated", "do not ", "machine", "produced", "자동")):
         first = int(np.argmin(comment)) if len(comment) and not comment.all() else len(tokens)
         if tokens[first : first + 3] == ["<", "?", "xml"]:  # the comment after a prolog still heads the file
             head = text[text.find("?>") + 2 :].lstrip()
             headed = head.startswith("<!--") and bool(MARKER.search(head[: head.find("-->")]))
         else:
             headed = any(MARKER.search(t) for t in tokens[:first])
+        marked = headed or _marked(text, pattern)
     code = ~comment
     string = kind == _STRING
     literal = string | (kind == _NUMBER)

@@ -91,3 +91,19 @@ def test_equal_stretches_give_equal_rules():
     two = P.re_pair(y, np.zeros(len(y), dtype=np.int64), 24, False)
     shared = set(one[1].tolist()) & set(two[1].tolist())
     assert sum(w for n, w in zip(one[1].tolist(), one[2].tolist()) if n in shared) > 250
+
+
+def test_markers_behind_long_banners():
+    banner = "/*\n" + " * All rights reserved.\n" * 200 + " */\n"
+    code, mark = "package a;\n" + "import b.C;\n" * 400 + "class A {\n", "// Code generated by loom 1. DO NOT EDIT.\n"
+
+    def said(text, ext="java"):
+        got = P.describe(text, ext, P.Lexicon())[0]
+        return got[6], got[7]  # marked, headed
+
+    assert said(banner + mark + code) == (True, True)
+    assert said(banner[:-4] + " * Generated by loom\n */\n" + code) == (True, True)
+    assert said("<?xml version='1.0'?>\n<!--" + "x " * 2000 + "\nDo not edit -->\n<a/>", "xml") == (True, True)
+    assert said(code + mark + "}") == (True, False)
+    assert said(code + "@javax.Generated(\"x\")\nvoid f() { } }") == (True, False)
+    assert said(code + 'String s = "' + mark.strip() + '"; int n; // generated by the database\n}') == (False, False)
