@@ -6,13 +6,14 @@ checkpoint folder, so a lost executor costs one round at most.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegraph.session import cut
 
-ROUNDS = 60
 MERGE = 8  # rounds after which what was seen is written as one frame
 
 
@@ -75,17 +76,19 @@ def chain_depth(edges: DataFrame, starts: DataFrame, depth: int | None = None) -
     return seen.groupBy("start").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("nodes"))
 
 
-def topological_levels(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """(node, level): level 0 has no incoming edges; nodes on or behind cycles get level -1."""
     links = cut(edges.where("dst is not null and src <> dst").select("src", "dst").distinct())
     left = cut(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
     out = None
-    for level in range(rounds):
+    for level in count():  # ends when what is left is empty, or on or behind a cycle
         free = cut(left.join(links.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
             break
         done = free.withColumn("level", F.lit(level))
         out = done if out is None else out.unionByName(done)
+        if level % MERGE == MERGE - 1:
+            out = cut(out)
         left = cut(left.join(free, "node", "left_anti"))
         links = cut(links.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
     rest = left.withColumn("level", F.lit(-1))
@@ -99,17 +102,18 @@ def mutual(edges: DataFrame) -> DataFrame:
     return e.join(back, ["src", "dst"], "left_semi").where("src < dst").select(F.col("src").alias("node1"), F.col("dst").alias("node2"))
 
 
-def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each undirected component.
 
     Large-star and small-star rounds: every node links to the smallest of its neighbourhood, so
     the number of rounds grows with the logarithm of the graph and hubs don't multiply edges.
+    Rounds end only when one changes nothing.
     """
     e = cut(edges.where("dst is not null").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     links = e.where("u <> v")
     before = None
-    for _ in range(rounds):
+    while True:
         both = links.union(links.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

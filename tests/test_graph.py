@@ -108,3 +108,9 @@ def test_components_and_communities_take_all_edges(spark, store):
     assert got == {n: "class:7" if n.startswith("class") else "file:1" for n in nodes}
     labels = {r.node: r.label for r in entry.queries()["ref_g9_communities"](spark, store).collect()}
     assert set(labels) == nodes and {labels[n] for n in ("class:7", "class:8")} <= {"class:7", "class:8"}
+
+
+def test_levels_of_a_long_chain(spark):
+    links = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(64)] + [("x", "y"), ("y", "x"), ("c03", "x")]
+    got = {r.node: r.level for r in G.topological_levels(frame(spark, links)).collect()}
+    assert got == {f"c{i:02d}": i for i in range(65)} | {"x": -1, "y": -1}
