@@ -61,7 +61,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    windows = [(r.window_id, r.capacity_tokens) for r in table(spark, d, "context_windows").select("window_id", "capacity_tokens").limit(1000).collect()]
+    windows = [(r.window_id, r.capacity_tokens) for r in table(spark, d, "context_windows").select("window_id", "capacity_tokens").collect()]
     return packing.pack(tokens.token_counts(docs, "doc_id", "text"), "doc_id", windows, docs.count())
 
 

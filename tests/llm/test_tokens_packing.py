@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lodegraph.llm import packing, tokens
+from lodegraph.llm import packing, queries, tokens
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,9 @@ def test_pack_keeps_everything(spark):
             elif doc != 7:
                 assert sorted((r.token_start, r.n_tokens) for r in own) == [(a, min(capacity, n - a)) for a in range(0, n, capacity)]
     assert packing.pack(df, "doc_id", [], 0).collect() == []
+
+
+def test_every_window_gets_containers(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 8 + i) for i in range(1005)], "window_id int, capacity_tokens int").write.parquet(f"{tmp_path}/context_windows.parquet")
+    assert {r.window_id for r in queries.p7_packing(spark, str(tmp_path)).select("window_id").collect()} == set(range(1005))
