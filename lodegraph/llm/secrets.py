@@ -36,11 +36,13 @@ MASK = "REDACTED"
 NEAR = 120
 
 #: What makes a line worth a look (lower case).
-HINTS = ["pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "bearer", "login", "private key", "://", "identified by", "connect ", "signer", "akia", "ghp_", "eyj", "암호", "비밀", "인증", "키:"]
+HINTS = ["pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "bearer", "login", "private key", "://", "identified by", "connect ", "signer", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "_live_", "_pat_", "_sk_", "eyj", "암호", "비밀", "인증", "키:"]
 
 _QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 _BARE = re.compile(r"^\s*(?:[#!;]|//|--)?\s*(?:- )?([A-Za-z_][\w.\-]*)\s*[=:]\s*([^\s\"'`(){}<>,;][^\s\"'`(){}<>]*)\s*$")
 _TAG = re.compile(r"<value>([^<>\s]+)</value>")
+_LEAF = re.compile(r"<(?!value>)([\w.:\-]+)(?:\s[^<>]*)?>([^<>\s]+)</\1>")
+_IDENTIFIED = re.compile(r"\bidentified\s+by\s+(?!values\b)([^\s\"'`;,()]+)", re.I)
 _COMMENT = re.compile(r"(?://|--|#|/\*|<!--|<%--|^\s*\*)\s*(.*?)\s*(?:\*/|-->|--%>)?\s*$")
 _IN_COMMENT = re.compile(r"^((?:[^\s:=/]+\s+){0,6}?[^\s:=/]+)\s*(?:[:=]\s*|\s/\s*)(\S+)$")
 _CONNECT = re.compile(r"\bconnect\s+[\w$]+/([^\s@/]+)@", re.I)
@@ -127,6 +129,8 @@ def scan_line(line: str) -> list[tuple[int, int, str, str, str]]:
         out.append((m.start(1), m.end(1), "tag", _context(line[max(0, m.start() - NEAR) : m.start()]), m.group(1)))
     for m in _CONNECT.finditer(line):
         out.append((m.start(1), m.end(1), "comment", "connect", m.group(1)))
+    more = [(m.start(2), m.end(2), "tag", m.group(1), m.group(2)) for m in _LEAF.finditer(line)]
+    more += [(m.start(1), m.end(1), "comment", "identified by", m.group(1)) for m in _IDENTIFIED.finditer(line)]
     if not out:
         m = _BARE.match(line)
         if m:
@@ -138,7 +142,8 @@ def scan_line(line: str) -> list[tuple[int, int, str, str, str]]:
             m = _IN_COMMENT.match(c.group(1))
             if m:
                 out.append((c.start(1) + m.start(2), c.start(1) + m.end(2), "comment", m.group(1), m.group(2)))
-    return out
+    taken = {(a, b) for a, b, *_ in out}
+    return out + [c for c in more if c[:2] not in taken]
 
 
 def hint_lines(text: str) -> list[tuple[int, int]]:
@@ -217,7 +222,7 @@ _ALPHABET = 98
 
 def _codes(value: str) -> np.ndarray:
     """Printable ASCII by itself, everything else as one class, with an end mark on both sides."""
-    return np.array([0, *[ord(c) - 31 if 32 <= ord(c) < 127 else 96 for c in value[:4096]], 97])
+    return np.array([0, *[ord(c) - 31 if 32 <= ord(c) < 127 else 96 for c in value], 97])
 
 
 def _speaks(value: str) -> bool:

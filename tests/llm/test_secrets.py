@@ -73,3 +73,10 @@ def test_long_lines_are_scanned_in_time():
     assert len(S.scan_text(line)) >= 120_000
     assert time.time() - start < 20
     S.scan_text("# key " + "-- " * 200_000)
+
+
+def test_formats_elements_and_statements_are_sites():
+    tail = "a1B2c3D4e5F6g7H8i9J0"
+    for line, value in [(f'x = "{v}"', v) for v in (f"gho_{tail}", f"ghr_{tail}", f"xoxb-{tail}", f"ab_live_{tail}", f"abc_pat_{tail}")] + [("<password>abc123</password>", "abc123"), ("CREATE USER u IDENTIFIED BY Tiger7x;", "Tiger7x")]:
+        assert value in [c[-1] for c in S.scan_text(line + "\n")], line
+    assert len(S._codes("a" * 5000)) == 5002
