@@ -72,15 +72,23 @@ refs AS (
   FROM refs LEFT JOIN nodes n ON n.t = refs.t AND n.id = refs.id LEFT JOIN gone g ON g.t = refs.t AND g.id = refs.id
   WHERE refs.id IS NOT NULL)"""
 
+# UNION drops rows that are there already, so the closure ends on cycles too.
 _TREE = """c AS (SELECT component_id AS id, max(parent_component_id) AS parent FROM components WHERE component_id IS NOT NULL GROUP BY 1),
-up AS (
-  SELECT id, parent AS at, 1 AS n FROM c WHERE parent IS NOT NULL
-  UNION ALL SELECT up.id, c.parent, n + 1 FROM up JOIN c ON c.id = up.at WHERE c.parent IS NOT NULL AND up.at <> up.id AND n < 5000
-)"""
+up(id, anc) AS (
+  SELECT id, parent FROM c WHERE parent IS NOT NULL
+  UNION SELECT up.id, c.parent FROM up JOIN c ON c.id = up.anc WHERE c.parent IS NOT NULL
+), onloop AS (SELECT id FROM up WHERE id = anc),
+marks AS (SELECT up.id, bool_or(l.id IS NOT NULL) AS cyclic, bool_or(c.id IS NULL) AS lost FROM up LEFT JOIN onloop l ON l.id = up.anc LEFT JOIN c ON c.id = up.anc GROUP BY 1),
+states AS (SELECT c.id, CASE WHEN l.id IS NOT NULL THEN 'loop' WHEN m.cyclic THEN 'under_loop' WHEN m.lost THEN 'broken' ELSE 'ok' END AS state FROM c LEFT JOIN onloop l ON l.id = c.id LEFT JOIN marks m ON m.id = c.id),
+above AS (SELECT up.id, up.anc FROM up JOIN c ON c.id = up.anc JOIN states s ON s.id = up.id WHERE s.state IN ('ok', 'broken')),
+depths AS (SELECT s.id, s.state, count(a.anc) AS depth FROM states s LEFT JOIN above a ON a.id = s.id WHERE s.state IN ('ok', 'broken') GROUP BY 1, 2)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"WITH RECURSIVE {_TREE} SELECT id AS component_id, state FROM states WHERE state <> 'ok'",
+        "p1_hierarchy": f"WITH RECURSIVE {_TREE}, steps AS (SELECT id, anc FROM above UNION ALL SELECT id, id FROM depths), paths AS (SELECT s.id, string_agg(CAST(s.anc AS VARCHAR), '/' ORDER BY d.depth) AS path, arg_min(s.anc, d.depth) AS root FROM steps s JOIN depths d ON d.id = s.anc GROUP BY 1), below AS (SELECT anc AS id, count(*) AS n FROM above GROUP BY 1) SELECT s.id AS component_id, s.state, p.path, CAST(d.depth AS INTEGER) AS depth, CASE WHEN s.state = 'ok' THEN p.root END AS root_id, CASE WHEN d.id IS NOT NULL THEN coalesce(b.n, 0) END AS n_descendants FROM states s LEFT JOIN depths d ON d.id = s.id LEFT JOIN paths p ON p.id = s.id LEFT JOIN below b ON b.id = s.id",
+        "p1_descendants": f"WITH RECURSIVE {_TREE} SELECT a.anc AS component_id, a.id AS descendant_id, CAST(d.depth - u.depth AS INTEGER) AS distance FROM above a JOIN depths d ON d.id = a.id JOIN depths u ON u.id = a.anc",
         "p4_found": f"WITH {_NODES} SELECT ref_table, ref_id, ref_field, state FROM found WHERE state IS NOT NULL",
         "p4_by_month": f"WITH {_NODES} SELECT ref_table, ref_field, state, strftime(created_at, '%Y-%m') AS month, count(*) AS orphans FROM found WHERE state IS NOT NULL GROUP BY ALL",
     }
