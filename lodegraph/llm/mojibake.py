@@ -1,21 +1,25 @@
 """Text garbled by a wrong character encoding: found, and restored where possible.
 
 A wrong code page is a substitution cipher: bytes written in one page were read in another, so
-each letter became one garbled symbol or a short group. The cipher of a source is unknown; what is
-known is the book of ciphers that pairs of code pages can make. Expectation-maximization over all
-words with non-ASCII characters learns, together, a character-bigram model of the corpus's
-languages and, per source, how often each cipher was at work:
+each letter became one garbled symbol or a short group. The cipher of a source is unknown.
+Expectation-maximization over all words with non-ASCII characters learns, together, a
+character-bigram model of the corpus's languages and, per source, the ciphers at work:
 
-* E: each word is clean or enciphered by one of the pairs that can decode it; the posterior weighs
-  the bigram likelihood of the reading against the source's share of that cipher.
+* E: each word is clean or enciphered by one of the pairs of pages in the book that can decode it; the
+  posterior weighs the bigram likelihood of the reading against the source's share of that cipher.
 * M: bigram counts are re-estimated from the readings, cipher shares per source from posteriors.
+  Rounds end when the share of garbled words settles.
+* Words that stay odd (bigrams that next to no other source has) may come from a page outside the
+  book. Their symbol bigrams are counted per source, and the mapping from symbols to letters is
+  learned by EM against the letter bigrams of each script of the corpus (:mod:`decipher`).
 
-The learned table of a source (garbled symbol -> letter) is then applied with ``str.translate``
-for single-byte pairs, and by the same table over byte groups for multi-byte ones. Words with
-U+FFFD lost bytes for good: they are found, and restored only outside the losses.
+The tables of a source (garbled symbol -> letter) are applied with ``str.translate`` for single-byte
+pages, and over byte groups for multi-byte ones. Words with U+FFFD lost bytes for good: they are
+found, and restored only outside the losses.
 
-Counts cover every document. Bigrams live in a hash table of fixed size, the only thing that is
-collected and broadcast; word statistics stay distributed.
+Counts cover every document. Bigrams live in hash tables of fixed size, the only thing that is
+collected and broadcast beside the overall share of each cipher; words, shares and tables of
+sources stay distributed and are joined by source.
 
 Defined results: null, empty and pure ASCII texts are no cases; a null source is a source of its
 own; repeated rows give one row per row in ``repair`` and one per id in ``found``.
@@ -26,7 +30,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+import warnings
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm.decipher import END, Language, learn_table
 from lodegraph.session import cut, width
 
 #: Code pages considered; those with "+" read their undefined bytes as C1 controls, as browsers do.
@@ -50,13 +56,18 @@ CELLS = 1 << 20
 ALPHA, SPREAD = 0.02, 4000
 START_SHARE = {"utf_8": 1e-3, "": 1e-4}
 AMBIGUOUS = 0.05
-ROUNDS, SETTLED = 12, 0.0005
+ROUNDS, SETTLED = 60, 0.0005
+#: After so many rounds, words whose readings are all less likely by SURE (in logs) count as clean in the rounds to
+#: come: partial E steps, which reach the same maximum. The decision looks at every word again.
+SURE_AFTER, SURE = 2, 18.0
 #: UTF-8 checks itself: a reading that is valid needs less of the bigrams.
 MIN_POSTERIOR = {"utf_8": 0.4, "": 0.9}
 MIN_GAIN = 3.0
 #: A cipher that single words speak for only weakly is still taken, if so many different words of a
 #: text do, with so much likelihood gained together.
 WEAK_WORDS, WEAK_GAIN, WEAK_TOTAL = 3, 1.0, 8.0
+#: Odd words: share of sources a bigram may occur in, least bigrams of a word, and share of them that is odd.
+ODD_SOURCES, ODD_PAIRS, ODD_SHARE = 0.1, 3, 0.7
 LOSS = "�"
 
 
@@ -66,7 +77,7 @@ def _gaps(page: str) -> dict[str, bytes]:
     return {chr(i): bytes([i]) for i in range(0x80, 0xA0) if not bytes([i]).decode(page, errors="ignore")}
 
 
-_BLANKS = re.compile(r"[\x00-\x20]+")
+_HIGH_TOKEN = re.compile(r"(?<![^\x00-\x20])[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]*")
 _TOKEN = re.compile(r"[^\x00-\x20]+")
 _WIDE_CHARS = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힣豈-﫿＀-￯]+")
 
@@ -120,32 +131,74 @@ def _script(c: str) -> str:
     return "other"
 
 
+class _Scripts(dict):
+    def __missing__(self, c: str) -> str:
+        self[c] = out = _script(c)
+        return out
+
+
+_SCRIPT_OF = _Scripts()
+_NEVER = {"!", "other"}
+
+
 def _plausible(text: str) -> bool:
-    scripts = {_script(c) for c in text}
-    return "!" not in scripts and "other" not in scripts and len(scripts - {""}) <= 1
+    scripts = set(map(_SCRIPT_OF.__getitem__, text))
+    scripts.discard("")
+    return len(scripts) <= 1 and scripts.isdisjoint(_NEVER)
+
+
+@lru_cache(maxsize=64)
+def _bytes_of(page: str) -> tuple[frozenset[str], dict[int, str]]:
+    """The non-ASCII characters of a single-byte page, and their bytes as Latin-1."""
+    table = {seen: chr(b) for b in range(0xFF, 0x7F, -1) if (seen := _decode(bytes([b]), page)) and _encode(seen, page) == bytes([b])}
+    return frozenset(table), {ord(c): x for c, x in table.items()}
+
+
+@lru_cache(maxsize=1024)
+def _swap(page: str, true: str) -> dict[int, str]:
+    """What each character of ``page`` is in ``true``; what it can't be is no character."""
+    table = {}
+    for b in range(0x80, 0x100):
+        seen = _decode(bytes([b]), page)
+        if seen:
+            table[ord(seen)] = _decode(bytes([b]), true) or "\ufffe"
+    return table
+
+
+_TWICE_READ = ("cp1252+", "latin_1", "mac_roman")
 
 
 def readings(word: str) -> list[tuple[str, str]]:
     """(cipher, reading) for each pair of pages that decodes ``word`` to something plausible."""
     out: dict[str, str] = {}
     wide = bool(_WIDE_CHARS.search(word))
+    tried: dict[bytes, dict[str, str | None]] = {}
+    high = {c for c in word if c >= "\x80"}
     for page in READ_WIDE if wide else READ_AS:
-        data = _encode(word, page)
-        if data is None:
-            continue
-        for true in WRITTEN:
-            if true == page or (wide and true not in WRITTEN_WIDE):
+        if wide:
+            data = _encode(word, page)
+            if data is None:
                 continue
-            text = _decode(data, true)
-            if text is None or text == word:
+        else:
+            held, to_bytes = _bytes_of(page)
+            if not high <= held:
                 continue
-            if true == "utf_8" and page in ("cp1252+", "latin_1", "mac_roman"):
+            data = word.translate(to_bytes).encode("latin_1")
+        texts = tried.get(data)  # pages that give the same bytes give the same texts
+        if texts is None:
+            texts = tried[data] = {t: _decode(data, t) if t in WRITTEN_WIDE else word.translate(_swap(page, t)) for t in WRITTEN if not wide or t in WRITTEN_WIDE}
+        elif page not in _TWICE_READ:
+            continue
+        for true, text in texts.items():
+            if true == page or text is None or text == word:
+                continue
+            if true == "utf_8" and page in _TWICE_READ:
                 again = _encode(text, page)
                 deeper = _decode(again, true) if again is not None else None
                 if deeper is not None and deeper != text and _plausible(deeper):
                     out.setdefault(deeper, f"{page}>{TWICE}")
-            if _plausible(text):
-                out.setdefault(text, f"{page}>{true}")
+            if text not in out and _plausible(text):
+                out[text] = f"{page}>{true}"
     return [(cipher, text) for text, cipher in out.items()]
 
 
@@ -185,85 +238,112 @@ def pieces(token: str) -> list[str]:
     return [p for p in [*out, token[last:]] if p]
 
 
-def words(text: str) -> Iterator[str]:
-    for t in _BLANKS.split(text):
-        if not t.isascii():
-            if not _WIDE_CHARS.search(t):
-                yield t
-                continue
-            for p in pieces(t):
-                if not p.isascii():
-                    yield p
+def tokens(text: str) -> list[str]:
+    """The blank-free tokens of a text that hold a non-ASCII character."""
+    return _HIGH_TOKEN.findall(text)
 
 
-def _cell(a: str, b: str) -> int:
-    return (ord(a) * 1_000_003 + ord(b) * 7919 + 17) % CELLS
+def parts(token: str) -> list[str]:
+    return [token] if not _WIDE_CHARS.search(token) else [p for p in pieces(token) if not p.isascii()]
 
 
-def _row(a: str) -> int:
-    return (ord(a) * 69_069 + 5) % CELLS
+class Bigrams:
+    """Bigrams with a non-ASCII character of many stretches, word ends included, and whose they are."""
 
+    def __init__(self, stretches: list[str]):
+        self.n = len(stretches)
+        codes = np.frombuffer(("\n" + "".join(s + "\n" for s in stretches)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        a, b = codes[:-1], codes[1:]
+        kept = (a >= 128) | (b >= 128)
+        self.owner = np.repeat(np.arange(self.n), [len(s) + 1 for s in stretches])[kept] if self.n else np.zeros(0, dtype=np.int64)
+        self.a, self.b = a[kept], b[kept]
+        self.cell = (self.a * 1_000_003 + self.b * 7919 + 17) % CELLS
+        self.row = (self.a * 69_069 + 5) % CELLS
 
-def score(text: str, pairs: np.ndarray, singles: np.ndarray) -> float:
-    """Log likelihood of the stretch's bigrams, word ends included."""
-    out, a = 0.0, "\n"
-    for b in text + "\n":
-        if a < "\x80" and b < "\x80":
-            a = b
-            continue
-        out += math.log((pairs[_cell(a, b)] + ALPHA) / (singles[_row(a)] + ALPHA * SPREAD))
-        a = b
-    return out
-
+    def scores(self, pairs: np.ndarray, singles: np.ndarray) -> np.ndarray:
+        """Log likelihood of each stretch."""
+        logs = np.log((pairs[self.cell] + ALPHA) / (singles[self.row] + ALPHA * SPREAD))
+        return np.bincount(self.owner, weights=logs, minlength=self.n)
 
-def _count(text: str, weight: float, pairs: dict, singles: dict) -> None:
-    a = "\n"
-    for b in text + "\n":
-        if a >= "\x80" or b >= "\x80":
-            pairs[_cell(a, b)] += weight
-            singles[_row(a)] += weight
-        a = b
+    def add(self, weights: np.ndarray, pairs: np.ndarray, singles: np.ndarray) -> None:
+        w = weights[self.owner]
+        pairs += np.bincount(self.cell, weights=w, minlength=CELLS)
+        singles += np.bincount(self.row, weights=w, minlength=CELLS)
 
 
 class Model:
-    """Bigram tables and the ciphers' shares by source (``None`` holds the shares over all)."""
-
-    def __init__(self, pairs: np.ndarray, singles: np.ndarray, shares: dict):
-        self.pairs, self.singles, self.shares = pairs, singles, shares
-
-    def weighed(self, word: str, options: list) -> tuple[float, list[tuple[str, float]]]:
-        """Log likelihood of the word as it stands, and of its readings by cipher; no source matters here."""
-        return score(word, self.pairs, self.singles), [(c, score(t, self.pairs, self.singles)) for c, t in options]
-
-    def posterior(self, clean: float, scored: list[tuple[str, float]], source) -> tuple[float, str | None, float]:
-        """(weight of clean, best cipher, its posterior) for a source's shares."""
-        if not scored:
-            return 1.0, None, 0.0
-        base = self.shares.get("", {})
-        own = self.shares.get(source) or base
-        logs = [x + math.log(own.get(c, 0.0) / 2 + base.get(c, 0.0) / 2 + START_SHARE.get(c.partition(">")[2], START_SHARE[""])) for c, x in scored]
+    """Bigram tables, in how many sources each pair of them occurs, and the ciphers' shares over all sources."""
+
+    def __init__(self, pairs: np.ndarray, singles: np.ndarray, base: dict, spread: np.ndarray | None = None, sources: int = 0):
+        self.pairs, self.singles, self.base, self.spread, self.sources = pairs, singles, base, spread, sources
+
+    def prior(self, cipher: str, own: dict | None) -> float:
+        """Log share of a cipher in a source; sources without garbled words go by the overall shares."""
+        base = self.base.get(cipher, 0.0)
+        mine = own.get(cipher, 0.0) if own else base
+        return math.log(mine / 2 + base / 2 + START_SHARE.get(cipher.partition(">")[2], START_SHARE[""]))
+
+    def posterior(self, clean: float, scored: list[tuple[str, float]], own: dict | None) -> tuple[float, str]:
+        """(weight of clean, best cipher)."""
+        logs = [x + self.prior(c, own) for c, x in scored]
         top = max([clean, *logs])
-        weights = [math.exp(x - top) for x in logs]
-        total = math.exp(clean - top) + sum(weights)
-        best = max(range(len(logs)), key=lambda i: logs[i])
-        return math.exp(clean - top) / total, scored[best][0], weights[best] / total
-
-    def view(self, word: str) -> tuple[float, list[tuple[str, float]], dict[str, float]]:
-        """What :meth:`judge` needs of a word whatever its source: scores, and what each cipher would gain."""
-        clean, scored = self.weighed(word, readings(word))
-        return clean, scored, {c: x - clean for c, x in scored if x - clean > WEAK_GAIN}
-
-    def judge(self, word: str, source, view=None) -> tuple[str | None, dict[str, float]]:
-        """The cipher that garbled ``word``, or None, and what likelihood each cipher would gain."""
-        clean, scored, gains = view or self.view(word)
+        total = math.exp(clean - top) + sum(math.exp(x - top) for x in logs)
+        return math.exp(clean - top) / total, scored[max(range(len(logs)), key=lambda i: logs[i])][0]
+
+    def views(self, stretches: list[str]) -> list[tuple[float, list[tuple[str, float]], dict[str, float]]]:
+        """What :meth:`judge` needs of each stretch whatever its source: scores, and what each cipher would gain."""
+        options = [readings(w) for w in stretches]
+        flat = stretches + [t for o in options for _, t in o]
+        scores = Bigrams(flat).scores(self.pairs, self.singles).tolist()
+        out, k = [], len(stretches)
+        for i, o in enumerate(options):
+            scored = [(c, x) for (c, _), x in zip(o, scores[k : k + len(o)])]
+            k += len(o)
+            out.append((scores[i], scored, {c: x - scores[i] for c, x in scored if x - scores[i] > WEAK_GAIN}))
+        return out
+
+    def judge(self, view, own: dict | None) -> tuple[str | None, dict[str, float]]:
+        """The cipher that garbled a stretch, or None, and what likelihood each cipher would gain."""
+        clean, scored, gains = view
         if not gains:
             return None, gains
-        stays, cipher, _ = self.posterior(clean, scored, source)
-        least = MIN_POSTERIOR.get((cipher or "").partition(">")[2], MIN_POSTERIOR[""])
+        stays, cipher = self.posterior(clean, scored, own)
+        least = MIN_POSTERIOR.get(cipher.partition(">")[2], MIN_POSTERIOR[""])
         sure = 1 - stays >= least and gains.get(cipher, 0.0) >= MIN_GAIN
         return (cipher if sure else None), gains
 
+    def odd(self, stretches: list[str]) -> np.ndarray:
+        """Which stretches are mostly of bigrams that next to no other source has."""
+        if self.spread is None or self.sources < 3:
+            return np.zeros(len(stretches), dtype=bool)
+        g = Bigrams(stretches)
+        rare = self.spread[g.cell] <= max(1.0, ODD_SOURCES * self.sources)
+        many = np.bincount(g.owner, minlength=g.n)
+        return (many >= ODD_PAIRS) & (np.bincount(g.owner, weights=rare, minlength=g.n) >= ODD_SHARE * many)
+
+    def turns(self, stretch: str, table: dict[str, str] | None) -> str | None:
+        """The stretch by a source's learned table, if that is likelier than the stretch."""
+        if not table or LOSS in stretch or not any(c in table for c in stretch):
+            return None
+        text = stretch.translate({ord(k): v for k, v in table.items()})
+        was, now = Bigrams([stretch, text]).scores(self.pairs, self.singles)
+        return text if text != stretch and self.odd([stretch])[0] and now - was >= MIN_GAIN else None
+
+
+def _pack(pairs) -> str:
+    """Pairs of texts as one; control characters stand in no reading."""
+    return "\x1e".join(f"{a}\x1f{b}" for a, b in pairs)
+
+
+def _unpack(packed: str | None) -> list[list[str]]:
+    return [e.split("\x1f") for e in packed.split("\x1e")] if packed else []
+
+
+def _shares_of(packed: str | None) -> dict[str, float] | None:
+    return {c: float(x) for c, x in _unpack(packed)} if packed else None
+
 
+_WORDS = "word string, source string, n long, options string"
 _STATS = "kind int, source string, key string, weight double"
 
 
@@ -271,61 +351,110 @@ def _flush(kind: int, source: str, counts: dict) -> pd.DataFrame:
     return pd.DataFrame({"kind": kind, "source": source, "key": [str(k) for k in counts], "weight": list(counts.values())})
 
 
+def _dense(kind: int, counts: np.ndarray) -> pd.DataFrame:
+    at = np.flatnonzero(counts)
+    return pd.DataFrame({"kind": kind, "source": "", "key": at.astype(str), "weight": counts[at]})
+
+
 def _statistics(model: Model | None):
+    """Bigram counts and cipher shares of the rows (word, source, n, options, own), by a model or, at the start, without one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, singles, shares = defaultdict(float), defaultdict(float), defaultdict(lambda: defaultdict(float))
-        last, options, seen = None, [], (0.0, [])
+        pairs, singles, shares = np.zeros(CELLS), np.zeros(CELLS), defaultdict(lambda: defaultdict(float))
         for pdf in batches:
-            for word, source, n, given in zip(pdf["word"], pdf["source"], pdf["n"], pdf["options"]):
-                if word != last:  # rows of a word stand together
-                    last, options = word, [(o["cipher"], o["text"]) for o in given]
-                    seen = model.weighed(word, options) if model is not None and options else (0.0, [])
-                if model is None or not options:
-                    # at the start, words that some cipher explains speak for the languages in part only
-                    _count(word, n * (AMBIGUOUS if options else 1.0), pairs, singles)
-                    continue
-                clean, cipher, p = model.posterior(*seen, source)
-                if clean > 1e-6:
-                    _count(word, n * clean, pairs, singles)
-                if p > 1e-6:
-                    _count(dict(options)[cipher], n * p, pairs, singles)
-                    shares[source][cipher] += n * p
-                shares[source]["="] += n
+            which, distinct = pd.factorize(pdf["word"])
+            first = np.zeros(len(distinct), dtype=int)
+            first[which[::-1]] = np.arange(len(pdf))[::-1]
+            word, packed = pdf["word"].to_numpy(), pdf["options"].to_numpy()
+            options = [_unpack(packed[i]) for i in first]
+            n = pdf["n"].to_numpy(dtype=float)
+            plain = np.array([not o for o in options], dtype=bool)[which] if len(options) else np.zeros(0, dtype=bool)
+            flat = [word[i] for i in first] + [t for o in options for _, t in o]
+            start = len(first) + np.concatenate([[0], np.cumsum([len(o) for o in options])]).astype(int)
+            grams, weights = Bigrams(flat), np.zeros(len(flat))
+            if model is None:
+                # at the start, words that some cipher explains speak for the languages in part only
+                np.add.at(weights, which, np.where(plain, n, AMBIGUOUS * n))
+            else:
+                scores = grams.scores(model.pairs, model.singles)
+                names = sorted({c for o in options for c, _ in o})
+                number = {c: i for i, c in enumerate(names)}
+                cipher = np.array([number[c] for o in options for c, _ in o], dtype=int)
+                number_of, sources = pd.factorize(pdf["source"])
+                owns = pdf["own"].to_numpy()
+                for at, s in enumerate(sources):
+                    rows = np.flatnonzero((number_of == at) & ~plain)
+                    if not len(rows):
+                        continue
+                    own = _shares_of(owns[rows[0]])
+                    prior = np.array([model.prior(c, own) for c in names])
+                    w = which[rows]
+                    size = start[w + 1] - start[w]
+                    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+                    take = np.repeat(start[w] - begin, size) + np.arange(size.sum())  # the readings of each row, in flat
+                    logs = scores[take] + prior[cipher[take - len(first)]]
+                    clean = scores[w]
+                    top = np.maximum(np.maximum.reduceat(logs, begin), clean)
+                    like = np.exp(logs - np.repeat(top, size))
+                    stay = np.exp(clean - top)
+                    total = np.add.reduceat(like, begin) + stay
+                    best = np.maximum.reduceat(like, begin)
+                    k = np.flatnonzero(like == np.repeat(best, size))
+                    k = k[np.unique(np.repeat(np.arange(len(rows)), size)[k], return_index=True)[1]]  # the first best of each row
+                    p, stays = n[rows] * best / total, n[rows] * stay / total
+                    np.add.at(weights, w, stays)
+                    np.add.at(weights, take[k], p)
+                    sums = np.bincount(cipher[take[k] - len(first)], weights=p, minlength=len(names))
+                    mine = shares[s]
+                    for i in np.flatnonzero(sums > 1e-6):
+                        mine[names[i]] += float(sums[i])
+                    mine["="] += float(n[rows].sum())
+            grams.add(weights, pairs, singles)
             if len(shares) > 10_000:
                 for s, c in shares.items():
                     yield _flush(2, s, c)
                 shares.clear()
-        yield _flush(0, "", pairs)
-        yield _flush(1, "", singles)
+        yield _dense(0, pairs)
+        yield _dense(1, singles)
         for s, c in shares.items():
             yield _flush(2, s, c)
 
     return run
 
 
-def _fit(stats: DataFrame) -> Model:
+def _sums(stats: DataFrame) -> DataFrame:
+    return stats.groupBy("kind", "source", "key").agg(F.sum("weight").alias("weight"))
+
+
+def _fit(stats: DataFrame, constant: DataFrame | None = None) -> tuple[Model, DataFrame]:
+    """The model, and (source, own: shares of the ciphers that turned up in the source)."""
+    sums = cut(_sums(stats if constant is None else stats.unionByName(constant)))
     pairs, singles = np.zeros(CELLS, dtype=np.float32), np.zeros(CELLS, dtype=np.float32)
-    sums = cut(stats.groupBy("kind", "source", "key").agg(F.sum("weight").alias("weight")))
     cells = sums.where("kind < 2").select("kind", F.col("key").cast("int").alias("k"), "weight").toPandas()  # at most 2 * CELLS rows
     for kind, table in ((0, pairs), (1, singles)):
         got = cells[cells["kind"] == kind]
         table[got["k"].to_numpy(dtype=int)] = got["weight"].to_numpy()
-    shares: dict = {}
     rows = sums.where("kind = 2")
-    # Shares of each source for the ciphers that turned up in it; sources without any need no entry.
-    mass = rows.groupBy("source").agg(F.sum(F.when(F.col("key") == "=", F.col("weight"))).alias("total"))
-    top = rows.where("key <> '=' and weight >= 1").join(mass, "source").select("source", "key", (F.col("weight") / F.greatest("total", F.lit(1.0))).alias("share"))
-    every = rows.groupBy("key").agg(F.sum("weight").alias("weight")).collect()  # one row per cipher
+    every = rows.groupBy("key").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).collect()  # one row per cipher
     total = max([r["weight"] for r in every if r["key"] == "="], default=1.0)
-    shares[""] = {r["key"]: r["weight"] / total for r in every if r["key"] != "="}
-    # a fixed number of sources: those with most garbled words; the others go by the overall shares
-    for r in top.orderBy(F.desc("share"), "source", "key").limit(MAX_SHARES).collect():
-        shares.setdefault(r["source"], {})[r["key"]] = r["share"]
-    return Model(pairs, singles, shares)
+    base = {r["key"]: r["weight"] / total for r in every if r["key"] != "="}
+    mass = rows.groupBy("source").agg(F.sum(F.when(F.col("key") == "=", F.col("weight"))).alias("total"))
+    share = (F.col("weight") / F.greatest("total", F.lit(1.0))).cast("string")
+    some = rows.where("key <> '=' and weight >= 1").join(mass, "source").select("source", F.concat_ws("\x1f", "key", share).alias("e"))
+    shares = some.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("e")), "\x1e").alias("own"))
+    return Model(pairs, singles, base), _bounded(shares, sum(r["n"] for r in every))
+
+
+#: Rows of a frame of sources up to which it is broadcast; larger ones are joined by the engine's choice.
+BROADCAST_ROWS = 20_000
 
 
-#: Entries (source, cipher) that are broadcast with their own shares.
-MAX_SHARES = 100_000
+def _bounded(sources: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(sources) if rows <= BROADCAST_ROWS else sources
+
+
+def _rows(documents: DataFrame, text_col: str, source_col: str, *more) -> DataFrame:
+    return documents.select(*more, F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
 
 
 def word_table(documents: DataFrame, text_col: str, source_col: str) -> DataFrame:
@@ -333,71 +462,188 @@ def word_table(documents: DataFrame, text_col: str, source_col: str) -> DataFram
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts: dict = defaultdict(int)
+            seen: dict = defaultdict(Counter)
             for text, source in zip(pdf["text"], pdf["source"]):
-                for w in words(text):
-                    counts[w, source] += 1
+                seen[source].update(tokens(text))
+            counts: dict = defaultdict(int)
+            for source, found in seen.items():
+                for t, n in found.items():
+                    for p in parts(t):
+                        counts[p, source] += n
             yield pd.DataFrame([(w, s, n) for (w, s), n in counts.items()], columns=["word", "source", "n"])
 
     def options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, found = None, []
+        last, found = None, ""
         for pdf in batches:
             out = []
             for w in pdf["word"]:
                 if w != last:
-                    last, found = w, [{"cipher": c, "text": t} for c, t in ([] if LOSS in w else readings(w))]
+                    last, found = w, _pack([] if LOSS in w else readings(w))
                 out.append(found)
             pdf["options"] = out
             yield pdf
 
-    rows = documents.select(F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    counts = rows.mapInPandas(extract, "word string, source string, n long").groupBy("word", "source").agg(F.sum("n").alias("n"))
+    counts = _rows(documents, text_col, source_col).mapInPandas(extract, "word string, source string, n long").groupBy("word", "source").agg(F.sum("n").alias("n"))
     together = counts.repartition(width(documents.sparkSession), "word").sortWithinPartitions("word")
-    return together.mapInPandas(options, "word string, source string, n long, options array<struct<cipher:string,text:string>>")
+    return together.mapInPandas(options, _WORDS)
+
+
+class Learned:
+    """The model; shares (source, own) and learned tables (source, table) as frames."""
 
+    def __init__(self, model: Model, shares: DataFrame, tables: DataFrame):
+        self.model, self.shares, self.tables = model, shares, tables
 
-def learn(documents: DataFrame, text_col: str, source_col: str, rounds: int = ROUNDS) -> Model:
+
+def learn(documents: DataFrame, text_col: str, source_col: str, rounds: int = ROUNDS) -> Learned:
     table = cut(word_table(documents, text_col, source_col))
-    model = _fit(table.mapInPandas(_statistics(None), _STATS))
+    none = F.lit(None).cast("string")
+    open_words = table.where("options <> ''")
+    constant = cut(_sums(table.where("options = ''").withColumn("own", none).mapInPandas(_statistics(None), _STATS)))  # says the same in every round
+    model, shares = _fit(open_words.withColumn("own", none).mapInPandas(_statistics(None), _STATS), constant)
     mass = None
-    for _ in range(rounds):
-        model = _fit(_spread(table, model))
-        now = sum(model.shares[""].values())  # the share of words taken for garbled
+    for k in range(rounds):
+        if k == SURE_AFTER:
+            marked = cut(_spread(open_words, shares, _marked, model, _WORDS + ", open boolean"))
+            sure, open_words = marked.where("not open").withColumn("options", F.lit("")).withColumn("own", none), marked.where("open").drop("open")
+            kept = sure.groupBy("source").agg(F.sum("n").cast("double").alias("weight")).select(F.lit(2).alias("kind"), "source", F.lit("=").alias("key"), "weight")
+            constant = cut(_sums(constant.unionByName(sure.drop("open").mapInPandas(_statistics(None), _STATS)).unionByName(kept)))
+        model, shares = _fit(_spread(open_words, shares, _statistics, model, _STATS), constant)
+        now = sum(model.base.values())  # the share of words taken for garbled
         if mass is not None and abs(now - mass) <= SETTLED * mass:
             break
         mass = now
-    return model
+    else:
+        warnings.warn(f"{rounds} rounds did not settle the share of garbled words ({mass} to {now})", stacklevel=2)
+    return Learned(model, shares, _tables(table, shares, model))
 
 
-def _spread(table: DataFrame, model: Model) -> DataFrame:
-    shared = table.sparkSession.sparkContext.broadcast(model)  # two tables of CELLS floats and MAX_SHARES entries
+def _spread(table: DataFrame, shares: DataFrame, make, model: Model, schema: str) -> DataFrame:
+    shared = table.sparkSession.sparkContext.broadcast(model)  # tables of CELLS numbers and a share per cipher
 
     def run(batches):
-        yield from _statistics(shared.value)(batches)
+        yield from make(shared.value)(batches)
+
+    return table.join(shares, "source", "left").select(*table.columns, "own").mapInPandas(run, schema)
+
 
-    return table.mapInPandas(run, _STATS)
+def _marked(model: Model):
+    """Rows with ``open``: whether any reading comes near the word itself, even if its cipher had made every word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            which, distinct = pd.factorize(pdf["word"])
+            first = np.zeros(len(distinct), dtype=int)
+            first[which[::-1]] = np.arange(len(pdf))[::-1]
+            options = [[t for _, t in _unpack(pdf["options"].iloc[i])] for i in first]
+            scores = Bigrams([*distinct, *(t for o in options for t in o)]).scores(model.pairs, model.singles)
+            best = np.full(len(distinct), -np.inf)
+            np.maximum.at(best, np.repeat(np.arange(len(distinct)), [len(o) for o in options]), scores[len(distinct) :])
+            yield pdf.drop(columns="own").assign(open=(best > scores[: len(distinct)] - SURE)[which])
+
+    return run
+
+
+# pages outside the book ----------------------------------------------------------
+_CELLS_OF = "source string, cell int"
+_PAIRS = "script string, source string, a string, b string, weight double"
+
+
+def _cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        g = Bigrams(pdf["word"].tolist())
+        source = pdf["source"].to_numpy()
+        yield pd.DataFrame({"source": source[g.owner], "cell": g.cell.astype(np.int32)}).drop_duplicates()
+
+
+def _letters(model: Model):
+    """Letter bigrams of clean words by script, and symbol bigrams of odd words by source."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words_, sources, n = pdf["word"].tolist(), pdf["source"].tolist(), pdf["n"].tolist()
+            odd = model.odd(words_)
+            for i in np.flatnonzero(odd):  # what the book explains needs no other page
+                texts = [t for _, t in _unpack(pdf["options"].iloc[i])]
+                scores = Bigrams([words_[i], *texts]).scores(model.pairs, model.singles)
+                odd[i] = not (scores[1:] - scores[0] > WEAK_GAIN).any()
+            counts: dict = defaultdict(float)
+            for w, s, k, o in zip(words_, sources, n, odd):
+                if LOSS in w or _WIDE_CHARS.search(w):
+                    continue
+                if o:
+                    letters = w
+                else:
+                    scripts = {_alphabet(c) for c in w if c >= "\x80"} - {""}
+                    if len(scripts) != 1:
+                        continue
+                    s, letters = "", w
+                key = "" if o else next(iter(scripts))
+                a = END
+                for b in letters + END:
+                    counts[key, s, a, b] += k
+                    a = b
+            yield pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["script", "source", "a", "b", "weight"])
+
+    return run
+
+
+@lru_cache(maxsize=65536)
+def _alphabet(c: str) -> str:
+    """Script of a letter of an alphabet that a single-byte page can hold."""
+    if unicodedata.category(c)[0] not in "LM":
+        return ""
+    name = unicodedata.name(c, "").partition(" ")[0]
+    return name.lower() if name in ("LATIN", "GREEK", "CYRILLIC", "HEBREW", "ARABIC", "THAI", "ARMENIAN", "GEORGIAN") else ""
+
+
+def _tables(table: DataFrame, shares: DataFrame, model: Model) -> DataFrame:
+    """(source, table): symbol -> letter of the page outside the book that garbled words of the source."""
+    spread = table.where("word is not null").mapInPandas(_cells_of, _CELLS_OF).distinct().groupBy("cell").count().toPandas()  # at most CELLS rows
+    model.spread = np.zeros(CELLS, dtype=np.float32)
+    model.spread[spread["cell"].to_numpy(dtype=int)] = spread["count"].to_numpy()
+    model.sources = table.select("source").distinct().count()
+    counts = cut(_spread(table, shares, _letters, model, _PAIRS).groupBy("script", "source", "a", "b").agg(F.sum("weight").alias("weight")))
+    # letter bigrams of eight alphabets: their letters are those of a few Unicode blocks
+    known = counts.where("script <> ''").select("script", "a", "b", "weight").toPandas()
+    languages = {s: Language({(a, b): w for a, b, w in zip(g["a"], g["b"], g["weight"])}) for s, g in known.groupby("script")}
+    shared = table.sparkSession.sparkContext.broadcast(languages)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = learn_table({(a, b): w for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"])}, shared.value)
+        rows = [(pdf["source"].iloc[0], got)] if got else []
+        return pd.DataFrame({"source": pd.Series([s for s, _ in rows], dtype=object), "table": pd.Series([_pack(t.items()) for _, t in rows], dtype=object)})
+
+    # a group is the different symbol bigrams of one source, not its words
+    tables = cut(counts.where("script = ''").groupBy("source").applyInPandas(one, "source string, table string"))
+    return _bounded(tables, tables.count())
 
 
 def _lone(word: str) -> bool:
     return sum(c >= "\x80" or c.isalpha() for c in word) == 1
 
 
-def mend(text: str, source, judge) -> tuple[str, int, int]:
+def mend(text: str, views: list, judge, turn) -> tuple[str, int, int]:
     """(text with garbled words restored, number restored, number lost for good)."""
     weak: dict = defaultdict(float)
     seen: dict = defaultdict(int)
-    views = {}
-    for w in words(text):
-        if w not in views and LOSS not in w:
-            views[w] = judge(w, source)
-            for cipher, gain in views[w][1].items():
+    verdicts, learned, lossy = {}, {}, LOSS in text
+    for p, v in views:
+        if p in verdicts or p in learned:
+            continue
+        other = None if v[2] else turn(p)
+        if other is not None:
+            learned[p] = other
+        elif v[2]:
+            verdicts[p] = judge(v)
+            for cipher, gain in v[2].items():
                 weak[cipher] += gain
                 seen[cipher] += 1
-    if not weak and LOSS not in text:
+    if not weak and not lossy and not learned:
         return text, 0, 0  # no reading of any word is likelier than the word
     together = max((c for c in weak if seen[c] >= WEAK_WORDS and weak[c] >= WEAK_TOTAL), key=lambda c: (weak[c], c), default=None)
     # A lone character proves little: some other word has to speak for its cipher.
-    spoken = {v[0] for w, v in views.items() if not _lone(w)}
+    spoken = {v[0] for w, v in verdicts.items() if not _lone(w)}
     restored = lost = 0
 
     def piece(p: str) -> str:
@@ -407,7 +653,10 @@ def mend(text: str, source, judge) -> tuple[str, int, int]:
         if LOSS in p:
             lost += 1
             return p
-        cipher, gains = views[p]
+        if p in learned:
+            restored += 1
+            return learned[p]
+        cipher, gains = verdicts.get(p, (None, {}))
         if cipher not in spoken:
             cipher = None
         if cipher is None and together in gains:
@@ -424,32 +673,47 @@ def mend(text: str, source, judge) -> tuple[str, int, int]:
     return _TOKEN.sub(token, text), restored, lost
 
 
-def repair(documents: DataFrame, id_col: str, text_col: str, source_col: str, model: Model, with_text: bool = True) -> DataFrame:
+#: Token views that a task keeps.
+KEPT = 200_000
+
+
+def repair(documents: DataFrame, id_col: str, text_col: str, source_col: str, learned: Learned, with_text: bool = True) -> DataFrame:
     """(id, repaired, n_restored, n_lost) of each document with non-ASCII text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(learned.model)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-
-        def judge(w, s):
-            view = known.get(w)
-            if view is None:
-                if len(known) > 200_000:
-                    known.clear()
-                view = known[w] = shared.value.view(w)
-            return shared.value.judge(w, s, view)
-
+        model = shared.value
+        known: dict[str, list] = {}  # token -> its parts and their views
         for pdf in batches:
-            out = [mend(t, s, judge) for t, s in zip(pdf["text"], pdf["source"])]
+            if len(known) > KEPT:
+                known.clear()
+            held = [{*tokens(t)} for t in pdf["text"]]
+            fresh = [t for t in set().union(*held) if t not in known]
+            split = [parts(t) for t in fresh]
+            every = list(dict.fromkeys(p for ps in split for p in ps if LOSS not in p))
+            views = dict(zip(every, model.views(every)))
+            # only what some cipher would gain, or a page outside the book might, is looked at again
+            odd = dict(zip(every, model.odd(every)))
+            for t, ps in zip(fresh, split):
+                known[t] = [(p, views[p]) for p in ps if p in views and (views[p][2] or odd[p])]
+            out = []
+            for text, mine, own, table in zip(pdf["text"], held, pdf["own"], pdf["table"]):
+                seen = [v for t in mine for v in known[t]]
+                if not seen and LOSS not in text:
+                    out.append((text, 0, 0))
+                    continue
+                shares, symbols = _shares_of(own), dict(_unpack(table))
+                out.append(mend(text, seen, lambda v: model.judge(v, shares), lambda p: model.turns(p, symbols)))  # noqa: B023
             yield pd.DataFrame({id_col: pdf["id"], "repaired": [o[0] if with_text else None for o in out], "n_restored": [o[1] for o in out], "n_lost": [o[2] for o in out]})
 
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    rows = _rows(documents, text_col, source_col, F.col(id_col).alias("id"))
+    rows = rows.join(learned.shares, "source", "left").join(learned.tables, "source", "left")
     return rows.mapInPandas(run, f"{id_col} {kind}, repaired string, n_restored int, n_lost int")
 
 
 def found(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id) of each document with a garbled stretch."""
-    model = learn(documents, text_col, source_col)
-    rows = repair(documents, id_col, text_col, source_col, model, with_text=False)
+    learned = learn(documents, text_col, source_col)
+    rows = repair(documents, id_col, text_col, source_col, learned, with_text=False)
     return rows.where("n_restored + n_lost > 0").select(id_col).distinct()

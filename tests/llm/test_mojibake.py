@@ -49,3 +49,40 @@ def test_readings_hold_the_original(page, true):
     options = dict(M.readings(seen))
     ciphers = [c for c, t in options.items() if t == word]
     assert ciphers and M.apply_cipher(seen, ciphers[0]) == word
+
+
+GREEK = "το αρχείο περιέχει τη δομή των πινάκων και τις σχέσεις μεταξύ τους κάθε γραμμή είναι μία εγγραφή του συστήματος όταν λείπει το κλειδί η αναφορά δεν βρίσκεται πρέπει να ελεγχθεί πριν από την επόμενη εκτέλεση".split()
+HEBREW = "הקובץ מכיל את מבנה הטבלאות ואת הקשרים ביניהן כל שורה היא רשומה של המערכת כאשר חסר מפתח ההפניה אינה נמצאת ויש לבדוק אותה לפני ההרצה הבאה של התהליך בשרת הראשי".split()
+THAI = "ไฟล์นี้ มีโครงสร้าง ของตาราง และความสัมพันธ์ ระหว่างกัน ทุกบรรทัด เป็นระเบียน ของระบบ เมื่อไม่มี กุญแจ จะไม่พบ การอ้างอิง ต้องตรวจสอบ ก่อนการทำงาน ครั้งถัดไป บนเครื่อง แม่ข่าย หลัก".split()
+RUSSIAN_MORE = RUSSIAN + "файл содержит структуру таблиц и связи между ними каждая строка это запись системы когда ключа нет ссылка не найдена её нужно проверить перед следующим запуском на главном сервере".split()
+
+
+def invented(rnd):
+    """A page that no book has: the letters of the Russian alphabet on bytes in random order, read as cp1252."""
+    letters = sorted({c for w in RUSSIAN_MORE for c in w})
+    seen = rnd.sample([c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()], len(letters))
+    return dict(zip(letters, seen))
+
+
+@pytest.mark.parametrize("kind", ["greek", "hebrew", "thai", "invented"])
+def test_learns_pages_outside_the_book(spark, kind):
+    rnd = random.Random(5)
+    clean = {"greek": GREEK, "hebrew": HEBREW, "thai": THAI, "invented": RUSSIAN_MORE}[kind]
+    page = {"greek": "cp1253", "hebrew": "cp1255", "thai": "cp874"}.get(kind)
+    swap = invented(rnd) if kind == "invented" else {c: M._decode(c.encode(page), "cp1252+") for w in clean for c in w}
+    rows, bad, truth = [], set(), {}
+    for i in range(600):
+        ws = [rnd.choice(clean) for _ in range(25)]
+        if i % 6 == 0 and i % 40 == 0:
+            truth[i] = " ".join(ws)
+            ws = ["".join(swap[c] for c in w) for w in ws]
+            bad.add(i)
+        elif i % 3 == 0:
+            ws = [rnd.choice(GERMAN) for _ in range(25)]
+        rows.append((i, " ".join(ws), "odd" if i % 40 == 0 else f"s{i % 5}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    learned = M.learn(df, "text", "source", 8)
+    got = {r.doc_id: r.repaired for r in M.repair(df, "doc_id", "text", "source", learned).where("n_restored > 0").collect()}
+    assert len(set(got) & bad) >= 0.9 * len(bad) and len(set(got) - bad) <= 1
+    right = sum(a == b for i in bad & set(got) for a, b in zip(got[i].split(), truth[i].split()))
+    assert right >= 0.8 * 25 * len(bad)
