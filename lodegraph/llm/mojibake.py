@@ -60,6 +60,8 @@ ROUNDS, SETTLED = 60, 0.0005
 #: After so many rounds, words whose readings are all less likely by SURE (in logs) count as clean in the rounds to
 #: come: partial E steps, which reach the same maximum. The decision looks at every word again.
 SURE_AFTER, SURE = 2, 18.0
+#: Rows of words for a task of a later round; different words that may be garbled, up to which their scores are broadcast.
+TASK_ROWS, HOT_WORDS = 50_000, 200_000
 #: UTF-8 checks itself: a reading that is valid needs less of the bigrams.
 MIN_POSTERIOR = {"utf_8": 0.4, "": 0.9}
 MIN_GAIN = 3.0
@@ -489,10 +491,11 @@ def word_table(documents: DataFrame, text_col: str, source_col: str) -> DataFram
 
 
 class Learned:
-    """The model; shares (source, own) and learned tables (source, table) as frames."""
+    """The model; shares (source, own) and learned tables (source, table) as frames; the scores of words that may be
+    garbled, or None where they are too many to be broadcast and each task works them out for itself."""
 
-    def __init__(self, model: Model, shares: DataFrame, tables: DataFrame):
-        self.model, self.shares, self.tables = model, shares, tables
+    def __init__(self, model: Model, shares: DataFrame, tables: DataFrame, hot: dict | None):
+        self.model, self.shares, self.tables, self.hot = model, shares, tables, hot
 
 
 def learn(documents: DataFrame, text_col: str, source_col: str, rounds: int = ROUNDS) -> Learned:
@@ -508,6 +511,7 @@ def learn(documents: DataFrame, text_col: str, source_col: str, rounds: int = RO
             sure, open_words = marked.where("not open").withColumn("options", F.lit("")).withColumn("own", none), marked.where("open").drop("open")
             kept = sure.groupBy("source").agg(F.sum("n").cast("double").alias("weight")).select(F.lit(2).alias("kind"), "source", F.lit("=").alias("key"), "weight")
             constant = cut(_sums(constant.unionByName(sure.drop("open").mapInPandas(_statistics(None), _STATS)).unionByName(kept)))
+            open_words = cut(open_words.repartition(min(width(table.sparkSession), 1 + open_words.count() // TASK_ROWS)))
         model, shares = _fit(_spread(open_words, shares, _statistics, model, _STATS), constant)
         now = sum(model.base.values())  # the share of words taken for garbled
         if mass is not None and abs(now - mass) <= SETTLED * mass:
@@ -515,7 +519,36 @@ def learn(documents: DataFrame, text_col: str, source_col: str, rounds: int = RO
         mass = now
     else:
         warnings.warn(f"{rounds} rounds did not settle the share of garbled words ({mass} to {now})", stacklevel=2)
-    return Learned(model, shares, _tables(table, shares, model))
+    tables = _tables(table, shares, model)
+    rows = cut(_spread(table, shares, _hot, model, "word string, view string").distinct())
+    hot = {r["word"]: _view_of(r["view"]) for r in rows.collect()} if rows.count() <= HOT_WORDS else None
+    return Learned(model, shares, tables, hot)
+
+
+def _hot(model: Model):
+    """(word, view) of the words that some cipher would gain, or that are odd."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            part = pdf.drop_duplicates("word")
+            part = part[~part["word"].str.contains(LOSS, regex=False)]
+            words_, options = part["word"].tolist(), [_unpack(o) for o in part["options"]]
+            scores = Bigrams(words_ + [t for o in options for _, t in o]).scores(model.pairs, model.singles).tolist()
+            odd, k, rows = model.odd(words_), len(words_), []
+            for i, (w, o) in enumerate(zip(words_, options)):
+                mine = scores[k : k + len(o)]
+                k += len(o)
+                if odd[i] or any(x - scores[i] > WEAK_GAIN for x in mine):
+                    rows.append((w, _pack([("", repr(scores[i])), *((c, repr(x)) for (c, _), x in zip(o, mine))])))
+            yield pd.DataFrame(rows, columns=["word", "view"])
+
+    return run
+
+
+def _view_of(packed: str) -> tuple[float, list[tuple[str, float]], dict[str, float]]:
+    (_, clean), *rest = _unpack(packed)
+    scored = [(c, float(x)) for c, x in rest]
+    return float(clean), scored, {c: x - float(clean) for c, x in scored if x - float(clean) > WEAK_GAIN}
 
 
 def _spread(table: DataFrame, shares: DataFrame, make, model: Model, schema: str) -> DataFrame:
@@ -679,11 +712,11 @@ KEPT = 200_000
 
 def repair(documents: DataFrame, id_col: str, text_col: str, source_col: str, learned: Learned, with_text: bool = True) -> DataFrame:
     """(id, repaired, n_restored, n_lost) of each document with non-ASCII text."""
-    shared = documents.sparkSession.sparkContext.broadcast(learned.model)
+    shared = documents.sparkSession.sparkContext.broadcast((learned.model, learned.hot))
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model, hot = shared.value
         known: dict[str, list] = {}  # token -> its parts and their views
         for pdf in batches:
             if len(known) > KEPT:
@@ -691,6 +724,9 @@ def repair(documents: DataFrame, id_col: str, text_col: str, source_col: str, le
             held = [{*tokens(t)} for t in pdf["text"]]
             fresh = [t for t in set().union(*held) if t not in known]
             split = [parts(t) for t in fresh]
+            if hot is not None:
+                known.update((t, [(p, hot[p]) for p in ps if p in hot]) for t, ps in zip(fresh, split))
+                fresh, split = [], []
             every = list(dict.fromkeys(p for ps in split for p in ps if LOSS not in p))
             views = dict(zip(every, model.views(every)))
             # only what some cipher would gain, or a page outside the book might, is looked at again
