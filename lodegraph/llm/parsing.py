@@ -36,7 +36,7 @@ def language_of(language: str | None, path: str | None) -> str | None:
     return NAMES.get((path or "").rpartition("/")[2].rpartition(".")[2].lower())
 
 
-def _by_grammar(name: str, lexer, types=None):
+def _by_grammar(name: str, lexer, types=None, rule=None):
     def run(text: str) -> None:
         language = grammars.language(name)
         if types is not None:
@@ -46,15 +46,18 @@ def _by_grammar(name: str, lexer, types=None):
             language.check(lexer(text))
             return
         tokens = lexer(text)
-        if not language.accepts([t for t, _ in tokens]):
+        kinds = [t for t, _ in tokens]
+        if not language.accepts(kinds):
             language.check(tokens)
+        if rule is not None and (at := rule(kinds)) is not None:
+            raise SyntaxFault(tokens[at][1], kinds[at])
 
     return run
 
 
 _CHECKS = {
     "java": _by_grammar("java", lexers.java, lexers.java_types),
-    "javascript": _by_grammar("javascript", lexers.javascript),
+    "javascript": _by_grammar("javascript", lexers.javascript, rule=lexers.returns_outside),
     "css": _by_grammar("css", lexers.css),
     "json": _by_grammar("json", lexers.json),
     "sql": _by_grammar("sql", lambda text: lexers.sql(text, grammars.SQL_WORDS), lambda text: lexers.sql_types(text, grammars.SQL_WORDS)),
@@ -108,7 +111,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for fid, pid, lang, path, text in zip(pdf["file_id"], pdf["project_id"], pdf["language"], pdf["path"], pdf["content"]):
             name = language_of(lang, path)
             fault = first_error(text, name) if name else None
-            rows.append((fid, pid, name, name is not None, fault is None, None if fault is None else text.count("\n", 0, fault[0]) + 1, None if fault is None else str(fault[1])[:40]))
+            rows.append((fid, pid, name, name is not None, fault is None, None if fault is None else text.count("\n", 0, fault[0]) + 1, None if fault is None else str(fault[1])))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _ROW.split(", ")])
         out["error_line"] = out["error_line"].astype("Int64")
         out["project_id"] = out["project_id"].astype("Int64")

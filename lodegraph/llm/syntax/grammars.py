@@ -194,13 +194,13 @@ def _json() -> Language:
 
 SQL = r"""
 script : stmt+ EOS? ;
-stmt : command ';' | ';' | '/' | plsql | command EOS ;
+stmt : command ';' | ';' | '/' | label* block ';' | unit ';' | command EOS ;
 command : query | insert | update | delete | merge | create | alter | comment | other ;
 query : withclause? select ( setop select )* orderby? forupdate? ;
 withclause : 'with' ID P.names? 'as' P.query ( ',' ID P.names? 'as' P.query )* ;
 setop : ( 'union' 'all'? ) | 'minus' | 'intersect' | 'except' ;
 select : P.query | 'select' ( 'distinct' | 'all' | 'unique' )? selitem ( ',' selitem )* into? ( 'from' fromitem ( ',' fromitem )* )? where? hierarchy* groupby? ;
-into : 'into' e ( ',' e )* ;
+into : ( 'bulk' 'collect' )? 'into' e ( ',' e )* ;
 selitem : e ( 'as'? ID )? | '*' | qname '.' '*' ;
 fromitem : source join* ;
 source : ( qname ( '@' ID )? | P.query | P.source | ID P.args ) ( 'as'? ID )? ;
@@ -226,27 +226,47 @@ post : 'is' 'not'? ( 'null' | ID ) | 'not'? 'in' ( P.args | P.query | prim ) | '
 sum : ( '-' | '+' )? prim ( ( '+' | '-' | '*' | '/' | '||' ) ( '-' | '+' )? prim )* ;
 prim : qname | qname ( P.args | P.any ) ( '.' ID P.args? )* | NUM | STR | BIND | 'null' | '*' | P.args | P.query | 'case' e? when+ ( 'else' e )? 'end' | 'exists' P.query | 'date' STR | 'timestamp' STR | 'interval' STR ID ( 'to' ID )? | ( 'left' | 'right' | 'set' | 'if' ) P.args ;
 when : 'when' e 'then' e ;
-create : 'create' ( 'or' 'replace' )? ( 'global' 'temporary' )? 'table' qname P.columns tail* | 'create' ( 'or' 'replace' )? ( 'global' 'temporary' )? 'table' qname tail* 'as' query
-       | 'create' ( 'or' 'replace' )? ( 'force' | 'no' 'force' )? 'materialized'? 'view' qname P.names? 'as' query tail*
-       | 'create' ( 'unique' | 'bitmap' )? 'index' qname 'on' qname P.args tail* | 'create' ( 'or' 'replace' )? 'public'? 'synonym' qname 'for' qname ( '@' ID )?
-       | 'create' 'sequence' qname tail* | 'create' 'user' qname 'identified' 'by' ( ID | STR ) tail* | 'create' 'public'? 'database' 'link' qname 'connect' 'to' qname 'identified' 'by' ( ID | STR ) ( 'using' STR )?
-       | 'create' ( 'role' | 'tablespace' | 'directory' | 'profile' | 'type' ) tail+ ;
-tail : ID | NUM | STR | 'on' | 'as' | 'with' | 'null' | 'not' | 'by' | 'set' | 'for' | 'in' | 'start' | P.any | '=' | ',' | '.' ;
+create : 'create' ( 'or' 'replace' )? ( 'global' 'temporary' )? 'table' qname P.columns tails? | 'create' ( 'or' 'replace' )? ( 'global' 'temporary' )? 'table' qname tails? 'as' query
+       | 'create' ( 'or' 'replace' )? ( 'force' | 'no' 'force' )? 'materialized'? 'view' qname P.names? 'as' query tails?
+       | 'create' ( 'unique' | 'bitmap' )? 'index' qname 'on' qname P.args tails? | 'create' ( 'or' 'replace' )? 'public'? 'synonym' qname 'for' qname ( '@' ID )?
+       | 'create' 'sequence' qname tails? | 'create' 'user' qname 'identified' 'by' ( ID | STR ) tails? | 'create' 'public'? 'database' 'link' qname 'connect' 'to' qname 'identified' 'by' ( ID | STR ) ( 'using' STR )?
+       | 'create' ( 'role' | 'tablespace' | 'directory' | 'profile' ) tails ;
+tails : setting ( ','? setting )* ;
+setting : word ( '=' word )? | P.any ;
+word : ID ( '.' ID )* | NUM | STR | 'on' | 'as' | 'with' | 'null' | 'not' | 'by' | 'set' | 'for' | 'in' | 'start' ;
 column : ID dtype copt* | ( 'constraint' ID )? tcons copt* ;
 columns : column ( ',' column )* ;
 dtype : ID P.args? ( '%' ID )? | ID ID P.args? ID? | ID P.args 'with' ID? ID ID | ID 'with' ID ID | qname '%' ID ;
-copt : 'default' e | 'not' 'null' | 'null' | 'primary' 'key' | 'unique' | 'references' qname P.names? ( 'on' 'delete' ( 'cascade' | 'set' 'null' ) )? | 'check' P.args | 'constraint' ID | 'enable' | 'disable' | 'using' 'index' | 'generated' tail+ ;
+copt : 'default' e | 'not' 'null' | 'null' | 'primary' 'key' | 'unique' | 'references' qname P.names? ( 'on' 'delete' ( 'cascade' | 'set' 'null' ) )? | 'check' P.args | 'constraint' ID | 'enable' | 'disable' | 'using' 'index' | 'generated' tails ;
 tcons : 'primary' 'key' P.names | 'unique' P.names | 'foreign' 'key' P.names 'references' qname P.names? ( 'on' 'delete' ( 'cascade' | 'set' 'null' ) )? | 'check' P.args ;
-alter : 'alter' 'table' qname altop+ | 'alter' 'session' 'set' ID '=' ( STR | ID | NUM ) | 'alter' 'system' tail+ | 'alter' 'user' qname ( 'identified' 'by' ( ID | STR ) | ID )+ | 'alter' ( 'index' | 'sequence' | 'trigger' | 'view' | 'procedure' | 'package' | 'function' | 'database' ) qname tail+ ;
-altop : 'add' ( P.columns | column ) | 'modify' ( P.columns | column ) | 'drop' ( tail | P.names )+ | 'rename' tail+ | 'enable' tail+ | 'disable' tail+ ;
+alter : 'alter' 'table' qname altop+ | 'alter' 'session' 'set' ID '=' ( STR | ID | NUM ) | 'alter' 'system' tails | 'alter' 'user' qname ( 'identified' 'by' ( ID | STR ) | ID )+ | 'alter' ( 'index' | 'sequence' | 'trigger' | 'view' | 'procedure' | 'package' | 'function' | 'database' ) qname tails ;
+altop : 'add' ( P.columns | column ) | 'modify' ( P.columns | column ) | 'drop' ( setting | P.names )+ | 'rename' tails | 'enable' tails | 'disable' tails ;
 comment : 'comment' 'on' ( 'table' | 'column' ) qname 'is' STR ;
-other : 'commit' ID? | 'rollback' tail* | 'savepoint' ID | ( 'grant' | 'revoke' ) granted+ | 'drop' ( 'table' | ID ) tail+ | 'truncate' 'table' qname tail* | 'set' tail* | 'prompt' tail* | 'exec' e | 'lock' 'table' tail+ | 'call' e | 'explain' tail* | 'spool' tail* | 'whenever' tail* | 'exit' | 'purge' tail* | 'rename' tail+ | 'analyze' 'table' tail+ ;
-granted : tail | 'select' | 'insert' | 'update' | 'delete' | 'create' | 'alter' | 'drop' | 'table' | '/' ;
-plsql : prefix* simple ';' | prefix* 'end' ( 'if' | 'loop' | ID )? ';' ;
-prefix : 'begin' | 'declare' | 'exception' | 'else' | 'loop' | 'if' e 'then' | 'elsif' e 'then' | 'when' e 'then' | 'for' ID 'in' ( P.query | e '..' e | ID ) 'loop' | 'while' e 'loop'
-       | 'create' ( 'or' 'replace' )? ( 'procedure' | 'function' | 'package' 'body'? ) qname P.any? ( 'return' ID )? ( 'is' | 'as' ) | ( 'procedure' | 'function' ) ID P.any? ( 'return' ID )? ( 'is' | 'as' )
-       | 'create' ( 'or' 'replace' )? 'trigger' qname ( 'before' | 'after' ) ( 'insert' | 'update' | 'delete' | 'or' )+ 'on' qname ( 'for' 'each' ID )? ;
-simple : ( qname | BIND ) P.args? ':=' e | qname P.args? ( '.' ID P.args? )* | 'null' | 'return' e? | 'raise' ID? | command | ID 'constant'? dtype ( ':=' e | 'default' e )? | 'exit' ( 'when' e )? | 'open' ID 'for' query | ( 'open' | 'close' ) ID P.args? | 'fetch' ID into | 'cursor' ID P.any? 'is' query | 'execute' ID e ( 'using' e )? | 'pragma' tail+ ;
+other : 'commit' ID? | 'rollback' tails? | 'savepoint' ID | ( 'grant' | 'revoke' ) granted+ | 'drop' ( 'table' | ID ) tails | 'truncate' 'table' qname tails? | 'set' tails? | 'prompt' tails? | 'exec' e | 'lock' 'table' tails | 'call' e | 'explain' tails? | 'spool' tails? | 'whenever' tails? | 'exit' | 'purge' tails? | 'rename' tails | 'analyze' 'table' tails ;
+granted : privilege ( ','? privilege )* ;
+privilege : setting | 'select' | 'insert' | 'update' | 'delete' | 'create' | 'alter' | 'drop' | 'table' | '/' ;
+label : '<' '<' named '>' '>' ;
+named : ID | 'outer' | 'inner' ;
+block : ( 'declare' decl* )? 'begin' pstmts handlers? 'end' ID? ;
+pstmts : pstmt+ ;
+pstmt : label* ( simple ';' | block ';' | 'if' e 'then' pstmts ( 'elsif' e 'then' pstmts )* ( 'else' pstmts )? 'end' 'if' ';'
+      | loophead? 'loop' pstmts 'end' 'loop' named? ';' | 'case' e? ( 'when' e 'then' pstmts )+ ( 'else' pstmts )? 'end' 'case' ID? ';' ) ;
+loophead : 'while' e | 'for' ID 'in' 'reverse'? ( e '..' e | P.query | qname P.args? ) ;
+handlers : 'exception' ( 'when' e 'then' pstmts )+ ;
+place : ( qname | BIND ) P.args? ( '.' ID P.args? )* ;
+simple : place ':=' e | place | 'null' | 'return' e? | 'raise' qname? | ( 'exit' | 'continue' ) named? ( 'when' e )? | 'goto' ID | 'open' place ( 'for' ( query | e ) using? )? | 'close' place
+       | 'fetch' place into ( 'limit' e )? | 'execute' 'immediate' e into? using? returning? | 'pipe' 'row' P.args | 'forall' ID 'in' ( e '..' e | ( 'indices' | 'values' ) 'of' qname ) ( 'save' ID )? ( insert | update | delete | merge | 'execute' 'immediate' e using? ) | command ;
+using : 'using' ( 'in' | 'out' )* e ( ',' ( 'in' | 'out' )* e )* ;
+decl : ID 'constant'? dtype ( 'not' 'null' )? ( ( ':=' | 'default' ) e )? ';' | ID 'exception' ';' | 'cursor' ID P.params? ( 'return' dtype )? ( 'is' query )? ';' | 'type' ID 'is' typedef ';'
+     | 'subtype' ID 'is' dtype ( 'not' 'null' )? ';' | 'pragma' ID P.any? ';' | subprogram ';' ;
+typedef : 'record' P.columns | 'table' 'of' dtype ( 'not' 'null' )? ( 'index' 'by' dtype )? | 'varray' P.args 'of' dtype | 'ref' 'cursor' ( 'return' dtype )? | 'object' P.columns ;
+subprogram : ( 'procedure' qname P.params? | 'function' qname P.params? 'return' dtype ID* ) ( 'authid' ID )? ( ( 'is' | 'as' ) body )? ;
+body : decl* 'begin' pstmts handlers? 'end' ID? | 'language' tails ;
+unit : 'create' ( 'or' 'replace' )? ( 'editionable' | 'noneditionable' )? ( subprogram | 'package' qname ( 'authid' ID )? ( 'is' | 'as' ) decl* 'end' ID?
+     | 'package' 'body' qname ( 'is' | 'as' ) decl* ( 'begin' pstmts handlers? )? 'end' ID? | trigger | 'type' qname ( 'is' | 'as' ) typedef ) ;
+trigger : 'trigger' qname ( 'before' | 'after' | 'instead' 'of' ) event ( 'or' event )* 'on' qname ( 'referencing' tails )? ( 'for' 'each' ID )? ( 'when' P.args )? block ;
+event : 'insert' | 'update' ( 'of' ID ( ',' ID )* )? | 'delete' ;
+parameter : ID 'in'? 'out'? 'nocopy'? dtype ( ( ':=' | 'default' ) e )? ;
 args : argument ( ',' argument )* ;
 argument : e ( 'as' ID P.args? )? | e ID | e 'from' e ;
 anys : anyt+ ;
@@ -263,7 +283,7 @@ def _sql() -> Language:
         {
             "(": [
                 Reading("args", "argument", ",", whole="args"), Reading("query", "query", empty=False), Reading("names", "names", ",", empty=False), Reading("columns", "column", ",", empty=False, whole="columns"),
-                Reading("outer", "nothing", empty=False), Reading("source", "sourcein", empty=False), Reading("any", "anys"),
+                Reading("outer", "nothing", empty=False), Reading("source", "sourcein", empty=False), Reading("params", "parameter", ",", empty=False), Reading("any", "anys"),
             ],
             "[": [],
             "{": [],
@@ -334,6 +354,30 @@ def _python() -> Language:
     )
 
 
+EL = r"""
+el : or ( '?' el ':' el )? ;
+or : unary ( binop unary )* ;
+binop : '+' | '-' | '*' | '/' | '%' | 'div' | 'mod' | '==' | '!=' | '<' | '>' | '<=' | '>=' | 'eq' | 'ne' | 'lt' | 'gt' | 'le' | 'ge' | '&&' | '||' | 'and' | 'or' | '+=' ;
+unary : ( '-' | '!' | 'not' | 'empty' ) unary | prim post* ;
+post : '.' ID | K.el | P.args ;
+prim : ID ( ':' ID )? | LIT | P.el ;
+"""
+
+
+def _el() -> Language:
+    return Language(recogniser(EL), {"(": [Reading("el", "el", empty=False), Reading("args", "el", ",")], "[": [Reading("el", "el", empty=False)], "{": []}, Reading("expression", "el", empty=False))
+
+
+FLOW = r"""
+value : SCALAR | B.map | K.list ;
+entry : value | value? ':' value? | '?' value ( ':' value? )? ;
+"""
+
+
+def _flow() -> Language:
+    return Language(recogniser(FLOW), {"(": [], "[": [Reading("list", "entry", ",", trailing=True)], "{": [Reading("map", "entry", ",", trailing=True)]}, Reading("flow", "value", empty=False))
+
+
 #: Words that the SQL grammar names; all others are plain identifiers.
 SQL_WORDS = frozenset(re.findall(r"'([a-z]\w*)'", SQL))
 
@@ -345,6 +389,6 @@ def language(name: str) -> Language:
         "java block": lambda: _java(Reading("block", "stmts", statements=True)),
         "java members": lambda: _java(Reading("members", "members", statements=True)),
         "java expression": lambda: _java(Reading("expression", "expr", empty=False)),
-        "javascript": _javascript, "css": _css, "json": _json, "sql": _sql, "python": _python,
+        "el": _el, "flow": _flow, "javascript": _javascript, "css": _css, "json": _json, "sql": _sql, "python": _python,
     }
     return make[name]()

@@ -315,3 +315,68 @@ def python(text: str) -> list[Token]:
         out.append(("NEWLINE", n))
     out += [("DEDENT", n)] * (len(levels) - 1)
     return out
+
+
+_EL = re.compile(r"(?P<s>\s+)|(?P<id>[^\W\d][\w$]*)|(?P<num>\d[\w.]*|\.\d+)|(?P<str>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<op>&&|\|\||==|!=|<=|>=|\+=|[-+*/%<>!?:.,()\[\]])", re.S)
+_EL_WORDS = set("div mod eq ne lt gt le ge and or not empty".split())
+
+
+def el(text: str) -> list[Token]:
+    """Expression language of pages."""
+    out, at = [], 0
+    while at < len(text):
+        m = _EL.match(text, at)
+        if not m:
+            raise SyntaxFault(at, text[at : at + 10])
+        k, w = m.lastgroup, m.group()
+        if k != "s":
+            out.append((w if k == "op" or w in _EL_WORDS else "ID" if k == "id" and w not in ("true", "false", "null") else "LIT", at))
+        at = m.end()
+    return out
+
+
+_FLOW = re.compile(
+    r"(?P<s>\s+|(?<=\s)#[^\n]*)|(?P<prop>[&!][^\s,\[\]{}]*)|(?P<str>\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*')|(?P<op>[,\[\]{}]|:(?=[\s,\[\]{}]|$)|\?(?=\s)|(?<=[\"'}\]]):)"
+    r"|(?P<plain>(?:[^\s,\[\]{}:#]|:(?![\s,\[\]{}]|$)|(?<!\s)#|[^\S\n]+(?![\s#,\[\]{}:]|$)|[^\S\n]+(?=:(?![\s,\[\]{}]|$)))+)",
+    re.S,
+)
+
+
+def flow(text: str) -> list[Token]:
+    """Flow collections of YAML; tags and anchors dropped."""
+    out, at = [], 0
+    while at < len(text):
+        m = _FLOW.match(text, at)
+        if not m:
+            raise SyntaxFault(at, text[at : at + 10])
+        k = m.lastgroup
+        if k not in ("s", "prop"):
+            out.append((m.group() if k == "op" else "SCALAR", at))
+        at = m.end()
+    return out
+
+
+def returns_outside(types: list[str]) -> int | None:
+    """Index of the first ``return`` of a script that no function's body holds."""
+    opened: list[tuple[str, int]] = []  # bracket and where it opened
+    bodies: list[bool] = []  # braces: within a function
+    head = -1  # where the last closed parenthesis opened
+    for i, t in enumerate(types):
+        if t == "KW return" and not any(bodies[-1:]):
+            return i
+        if t == "{":
+            last = types[i - 1] if i else ""
+            inner = bodies[-1] if bodies else False
+            if last == ")":
+                before = types[head - 1] if head > 0 else ""
+                inner = inner or before not in ("KW if", "KW for", "KW while", "KW switch", "KW with", "KW catch", "ID await")
+            bodies.append(inner or last == "=>")
+        elif t == "}" and bodies:
+            bodies.pop()
+        if t in ("(", "[", "{"):
+            opened.append((t, i))
+        elif t in (")", "]", "}") and opened:
+            o, at = opened.pop()
+            if t == ")":
+                head = at
+    return None

@@ -60,6 +60,19 @@ _JSP = re.compile(r"<%--|<%@|<%!|<%=|<%|<!--|\$\{|#\{|</?[A-Za-z][\w.\-]*:[A-Za-
 _TAG = re.compile(r"<(/?)([A-Za-z][\w.\-]*:[\w.\-]+)((?:\s+[\w:.\-]+\s*=\s*(?:\"(?:[^\"]|<%=.*?%>)*\"|'(?:[^']|<%=.*?%>)*'))*)\s*(/?)>", re.S)
 
 
+_ELS = re.compile(r"[$#]\{((?:[^}'\"]|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")*)(\}?)", re.S)
+
+
+def _expression(m: re.Match, at: int) -> None:
+    if not m.group(2):
+        raise SyntaxFault(at, m.group()[:2])
+    if "<%" not in m.group(1):
+        try:
+            grammars.language("el").check(lexers.el(m.group(1)))
+        except SyntaxFault as f:
+            raise SyntaxFault(at + 2 + f.offset, f.what) from None
+
+
 def jsp(text: str) -> None:
     """Scriptlets become one method body, with a statement for every stretch of template text."""
     code: list[tuple[str, int]] = []
@@ -97,11 +110,10 @@ def jsp(text: str) -> None:
         elif kind == "<!--":
             at = m.end()
         elif kind in ("${", "#{"):
-            end = text.find("}", m.end())
-            if end < 0:
-                raise SyntaxFault(start, kind)
+            e = _ELS.match(text, start)
+            _expression(e, start)
             code += [(t, start) for t, _ in written]
-            at = end + 1
+            at = e.end()
         else:
             t = _TAG.match(text, start)
             if not t:
@@ -113,6 +125,10 @@ def jsp(text: str) -> None:
             elif not t.group(4):
                 tags.append((t.group(2), start))
             code += [(x, start) for x, _ in written]
+            for v in re.finditer(r"\"([^\"]*)\"|'([^']*)'", t.group(3)):
+                value = v.group(1) if v.group(1) is not None else v.group(2)
+                for e in _ELS.finditer(value.replace("&quot;", '"').replace("&#39;", "'")):
+                    _expression(e, start)
             # expressions inside attribute values
             for e in re.finditer(r"<%=(.*?)%>", t.group(3), re.S):
                 grammars.language("java expression").check(_fragment(e.group(1), start))
@@ -134,6 +150,7 @@ def _fragment(body: str, at: int) -> list:
 
 _KEY = re.compile(r"(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^\s\-?:,\[\]{}#&*!|>'\"%@`][^\n]*?|[\-?:](?=\S)[^\n]*?)\s*:(?=\s|$)")
 _BLOCK = re.compile(r"[|>][+\-\d]*\s*(?:#.*)?$")
+_ANCHOR = re.compile(r"(?:^|[\s\[{,])&([^\s,\[\]{}]+)")
 _PROPS = re.compile(r"(?:[&!][^\s]+\s+)+")
 
 
@@ -143,6 +160,7 @@ def yaml(text: str) -> None:
     lines, offset = text.split("\n"), 0
     i, flow, scalar_from, open_value = 0, "", -1, False
     quoted = ""
+    anchors: set[str] = set()
     for i, raw in enumerate(lines):
         at = offset
         offset += len(raw) + 1
@@ -157,8 +175,9 @@ def yaml(text: str) -> None:
             scalar_from = -1
         if not stripped or stripped[0] == "#":
             continue
+        anchors.update(_ANCHOR.findall(line))
         if flow:
-            flow = _flow(flow + " " + stripped, at)
+            flow = _flow(flow + "\n" + stripped, at)
             continue
         if stripped in ("---", "...") or stripped.startswith("--- ") or stripped[0] == "%":
             stack, open_value = [], False
@@ -213,6 +232,8 @@ def yaml(text: str) -> None:
         key_line = key is not None or item or rest != line[len(line) - len(line.lstrip(" ")) :]
         if not key_line and column <= stack[-1][0]:
             raise SyntaxFault(at + column, rest[:10])
+        if rest[0] == "*" and rest[1:].split(" ")[0].rstrip(",") not in anchors:
+            raise SyntaxFault(at + column, rest[:10])
         if rest[0] in "&!*":
             rest = _PROPS.sub("", rest + " ").strip()
             if not rest or rest[0] == "*":
@@ -265,6 +286,10 @@ def _flow(s: str, at: int) -> str:
                 tail = s[m.end() :].strip()
                 if tail and tail[0] != "#":
                     raise SyntaxFault(at, tail[:10])
+                try:
+                    grammars.language("flow").check(lexers.flow(s[: m.end()]))
+                except SyntaxFault as f:
+                    raise SyntaxFault(at, f.what) from None
                 return ""
     return s
 

@@ -92,3 +92,69 @@ def test_wrong_cuts_before_long_rests(language, around):
             assert (P.first_error(text, language) is None) == valid, (start, n)
     text = around % ("do x(); while (y);\n" + rest + "a = = b;\n" + rest)
     assert P.first_error(text, language) is not None
+
+
+BAD = {
+    "sql": [
+        "CREATE OR REPLACE PROCEDURE p IS BEGIN UPDATE t SET a = 1; IF x > 1 THEN y := 2;", "BEGIN x := 1;", "END; END;", "BEGIN LOOP x := 1; END IF; END;", "CREATE SEQUENCE s = = = ;", "ALTER SYSTEM = , . = ,;",
+        "BEGIN IF a THEN b; END LOOP; END;", "DECLARE x NUMBER BEGIN NULL; END;", "BEGIN NULL END;", "CREATE OR REPLACE PACKAGE b AS PROCEDURE p(; END;",
+    ],
+    "yaml": ["a: {x: 1, , y}\n", "a: *nope\n", "a: [1, 2\n"],
+    "jsp": ["<c:if test='${'a'>x</c:if>", "<p>${a +}</p>", '<c:if test="${empty a.b and}">x</c:if>'],
+    "javascript": ["return 5;", "if (a) { return 1; }", "var f = 1; { return f }"],
+}
+PACKAGE = """CREATE OR REPLACE PACKAGE BODY emp_pkg AS
+  g_count NUMBER(10) := 0;
+  TYPE t_rec IS RECORD (id NUMBER, name VARCHAR2(30));
+  TYPE t_tab IS TABLE OF emp%ROWTYPE INDEX BY PLS_INTEGER;
+  e_bad EXCEPTION;
+  PRAGMA EXCEPTION_INIT(e_bad, -20001);
+  CURSOR c_emp (p_dept NUMBER) IS SELECT id, name FROM emp WHERE dept = p_dept ORDER BY id;
+  FUNCTION total(p_id IN NUMBER, p_x IN OUT NOCOPY VARCHAR2, p_d DATE DEFAULT SYSDATE) RETURN NUMBER IS
+    v_sum emp.sal%TYPE;
+  BEGIN
+    SELECT SUM(sal) INTO v_sum FROM emp WHERE id = p_id;
+    IF v_sum IS NULL THEN RETURN 0; ELSIF v_sum > 100 THEN v_sum := v_sum * 2; ELSE NULL; END IF;
+    FOR r IN c_emp(10) LOOP
+      CASE r.id WHEN 1 THEN log_it('a'); ELSE log_it('b'); END CASE;
+    END LOOP;
+    FOR i IN REVERSE 1 .. 10 LOOP EXIT WHEN i = 3; CONTINUE; END LOOP;
+    WHILE v_sum > 0 LOOP v_sum := v_sum - 1; END LOOP;
+    <<outer>>
+    LOOP EXIT outer WHEN v_sum < 0; END LOOP outer;
+    EXECUTE IMMEDIATE 'delete from t where id = :1' USING p_id;
+    OPEN c_emp(1); FETCH c_emp BULK COLLECT INTO a LIMIT 100; CLOSE c_emp;
+    FORALL i IN 1 .. a.COUNT SAVE EXCEPTIONS UPDATE emp SET sal = a(i) WHERE id = b(i);
+    DECLARE x NUMBER; BEGIN x := CASE WHEN a = 1 THEN 2 ELSE 3 END; END;
+    RETURN v_sum;
+  EXCEPTION
+    WHEN NO_DATA_FOUND THEN RETURN NULL;
+    WHEN e_bad OR TOO_MANY_ROWS THEN ROLLBACK; RAISE;
+    WHEN OTHERS THEN raise_application_error(-20002, SQLERRM);
+  END total;
+  PROCEDURE init IS BEGIN NULL; END;
+BEGIN
+  init;
+END emp_pkg;
+/
+SELECT 1 FROM dual;
+"""
+GOOD = {
+    "sql": [
+        PACKAGE, PACKAGE * 3, "CREATE OR REPLACE TRIGGER trg BEFORE INSERT OR UPDATE OF a, b ON emp FOR EACH ROW WHEN (new.id > 1) BEGIN :new.id := seq.NEXTVAL; END;\n/\n", "CREATE SEQUENCE s START WITH 1 INCREMENT BY 1 NOCACHE;",
+        "ALTER SYSTEM SET open_cursors = 300;", "CREATE TYPE t AS OBJECT (a NUMBER, b VARCHAR2(3));", "GRANT SELECT, INSERT ON a.b TO c, d;", "BEGIN NULL; END;\n/\nBEGIN p(1, b => 2); END;\n/",
+    ],
+    "yaml": ['a: {x: 1, y: [1, 2, {b: c d}], z: "q"}\n', "b: &x 1\na: *x\n", "a: [1,\n  2, 'x: y']\nb: {}\nc: [http://a/b?c=1, x]\n", "on: [push, pull_request]\n"],
+    "jsp": ['<c:if test="${not empty user and user.age >= 18 ? true : false}">x</c:if>', "<p>${a['b'].c + fn:length(x)}</p>", "<c:out value='${item[\"x\"]}'/>"],
+    "javascript": ["function f(){ if (a) { return 1; } return; }", "const g = (a) => { return a; };", "class A { get x() { return 1; } static async m(a) { for (const b of c) { return b; } } }", "(function(){ return 1 })();"],
+}
+
+
+@pytest.mark.parametrize("language", sorted(BAD))
+def test_what_only_a_nested_grammar_sees(language):
+    for text in BAD[language]:
+        assert P.first_error(text, language) is not None, text
+    for text in GOOD[language]:
+        assert P.first_error(text, language) is None, text
+    cut = PACKAGE[: PACKAGE.index("EXCEPTION\n    WHEN")]
+    assert P.first_error(cut, "sql") is not None
