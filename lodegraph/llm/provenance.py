@@ -36,10 +36,9 @@ from pyspark.sql import functions as F
 
 from lodegraph.session import cut
 
-#: Tokens a class rule must expand to, and a literal one; tokens handled at a time.
+#: Tokens a class rule must expand to, and a literal one; tokens from which files are handled apart. A file is never divided.
 CLASS_RULE, LITERAL_RULE = 8, 24
 BATCH_TOKENS = 400_000
-ROUNDS = 24
 #: Decisions: voice of a generated rule, files with it, coverage by such, and for files whose head
 #: says so, or that are too short for rules; coverage of a copy, as a share and in tokens, of a
 #: catalogued file, and repositories.
@@ -150,9 +149,7 @@ def re_pair(symbols: np.ndarray, owner: np.ndarray, rule_tokens: int, by_count:
     s, f = symbols.astype(np.uint64), owner.astype(np.int64)
     w = np.ones(len(s), dtype=np.int64)
     blocks = ([], [], [])
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    while len(s) > 1:  # every round shortens the sequence, or is the last
         same = f[1:] == f[:-1]
         name = _mix(s[:-1], s[1:])
         if by_count:
@@ -254,17 +251,16 @@ _FILES = f"file_id long, project_id long, known boolean, ext string, {_MEASURES}
 
 
 def _segments(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Concatenated sequences and their owners, at most BATCH_TOKENS at a time; long files come in parts."""
+    """Concatenated sequences and their owners, about BATCH_TOKENS at a time; a file stays whole, however long."""
     seqs, owners, size = [], [], 0
     for i, p in enumerate(parts):
-        for a in range(0, len(p), BATCH_TOKENS):
-            q = p[a : a + BATCH_TOKENS]
-            if size + len(q) > BATCH_TOKENS and size:
-                yield np.concatenate(seqs), np.concatenate(owners)
-                seqs, owners, size = [], [], 0
-            seqs.append(q)
-            owners.append(np.full(len(q), i, dtype=np.int64))
-            size += len(q)
+        if size and size + len(p) > BATCH_TOKENS:
+            yield np.concatenate(seqs), np.concatenate(owners)
+            seqs, owners, size = [], [], 0
+        if len(p):
+            seqs.append(p)
+            owners.append(np.full(len(p), i, dtype=np.int64))
+            size += len(p)
     if size:
         yield np.concatenate(seqs), np.concatenate(owners)
 

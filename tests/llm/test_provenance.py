@@ -107,3 +107,10 @@ def test_markers_behind_long_banners():
     assert said(code + mark + "}") == (True, False)
     assert said(code + "@javax.Generated(\"x\")\nvoid f() { } }") == (True, False)
     assert said(code + 'String s = "' + mark.strip() + '"; int n; // generated by the database\n}') == (False, False)
+
+
+def test_long_files_stay_whole(monkeypatch):
+    parts = [np.arange(50, dtype=np.uint64), np.arange(500, dtype=np.uint64), np.arange(30, dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
+    monkeypatch.setattr(P, "BATCH_TOKENS", 100)
+    got = [(len(s), sorted(set(o.tolist()))) for s, o in P._segments(parts)]
+    assert got == [(50, [0]), (500, [1]), (30, [2])]
