@@ -1,6 +1,6 @@
 """Filling fixed-capacity containers with items of varying length.
 
-Rows are dealt at random into groups of bounded expected size; each group is packed on its own by
+Rows are dealt by a seeded hash of their ids into groups of bounded expected size; each group is packed on its own by
 first-fit decreasing, where a tournament tree over the containers' free space finds the leftmost
 container with room in logarithmic time. Only (id, size) is shuffled. With groups of tens of
 thousands of items the at most one badly filled container per group doesn't count.
@@ -89,7 +89,7 @@ def pack(sizes: DataFrame, id_col: str, capacities: list[tuple[int, int]], n_ite
     if not windows:
         windows, sizes = [(0, 1)], sizes.where(F.lit(False))
     each = F.array(*[F.struct(F.lit(int(w)).alias("window_id"), F.lit(int(c)).alias("capacity")) for w, c in windows])
-    items = sizes.select(F.col(id_col).alias("item"), "n_tokens", F.floor(F.rand(SEED) * groups).alias("grp"))
+    items = sizes.select(F.col(id_col).alias("item"), "n_tokens", F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), F.lit(groups)), F.lit(groups)).alias("grp"))  # by id, so that a task that runs again deals alike
     items = items.select("item", "n_tokens", "grp", F.inline(each))
     out = items.groupBy("window_id", "grp").applyInPandas(
         lambda pdf: pack_group(pdf), f"window_id int, capacity_tokens int, container_id long, item {kind}, piece_no int, token_start long, n_tokens long"
