@@ -19,6 +19,7 @@ its first line; repeated records give one row. Authorization values have line 0.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,11 @@ from lodegraph.session import cut
 TRAIN_ROWS = 40_000
 THRESHOLD = 0.5
 MASK = "REDACTED"
-#: Characters around a value in which its name is looked for.
-NEAR = 120
-
 #: What makes a line worth a look (lower case).
-HINTS = ["pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "bearer", "login", "private key", "://", "identified by", "connect ", "signer", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "_live_", "_pat_", "_sk_", "eyj", "암호", "비밀", "인증", "키:"]
+HINTS = ["pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "bearer", "login", "private key", "://", "identified by", "connect ", "signer", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "_live_", "_pat_", "_sk_", "eyj", "dsn", "phrase", "signing", "identified", "암호", "비밀", "인증", "접속", "키:"]
+#: A line that ends so goes on: what it assigns to, or calls, names a literal that begins the next.
+_GOES_ON = re.compile(r"[\w\"')\]]\s*(?:[=:]|:=|=>|\()\s*$")
+_BEGINS = re.compile(r"\s*[frbu]?[\"'`]")
 
 _QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
 _BARE = re.compile(r"^\s*(?:[#!;]|//|--)?\s*(?:- )?([A-Za-z_][\w.\-]*)\s*[=:]\s*([^\s\"'`(){}<>,;][^\s\"'`(){}<>]*)\s*$")
@@ -55,12 +56,13 @@ _AUTH_PARAM = re.compile(r'(?:key|token|secret|password|response)\s*=\s*"([^"]+)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{30,}")
-_MORE = re.compile(r"^\s*(?:\+|\.\.|\|\|)?\s*([\"'])((?:[^\"'\\\n]|\\.)+)\1")
+_BREAKS = re.compile(r"[\r\n]*")
+_JOINED = re.compile(r"\s*(?:\+|\.\.|\|\|)")
+_MORE = re.compile(r"\s*(?:\+|\.\.|\|\|)?\s*([\"'])((?:[^\"'\\\n]|\\.)+)\1")
 
 _FORMATS = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|eyJ[\w\-]{8,}\.[\w\-]+\.[\w\-]+|\w{2,5}_(?:live|pat|sk)_\w{16,}|xox[abp]-[\w\-]{10,})$")
 _PLACEHOLDER = re.compile(r"x{4,}|\*{3,}|\.{4,}|#{3,}|^-+$|\byour\b|\bYOUR_|change.?me\b|\breplace|\binsert\b|\bexample\b|\bdummy\b|\bsample\b|\btodo\b|\btbd\b|\bfixme\b|goes.?here|<[^>]*>|\{\{|base64\(|^(?:none|null|nil|true|false|undefined|empty|n/?a|test|string)$|^\W*$", re.I)
 _REFERENCE = re.compile(r"\$\{|\$\(|#\{|\{\{|\{[\w.]*\}|%[A-Za-z_]\w*%|^%s|^\$\w|^:\w|^@\w|vault|getenv|process\.env|environ|^env[:.]|^file:|^secretsmanager", re.I)
-_FETCH = re.compile(r"(?:get|getenv|getParameter|getItem|get_?secret|decode|decrypt|lookup|resolve|read\w*|load\w*|env|fetch|find|input|prompt|querySelector|getElementById|param|bundle)\s*[(\[]\s*$", re.I)
 _NAME = re.compile(r"[A-Za-z가-힣_$][\w가-힣$.\-]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[가-힣]+")
 
@@ -85,16 +87,40 @@ def _words(name: str) -> list[str]:
 _FORM = {"property", "name", "value", "values", "input", "type", "hidden", "constructor-arg", "private", "public", "protected", "static", "final", "string", "const", "let", "var", "val", "def", "import", "os", "os.environ.setdefault", "setdefault", "insert", "into", "to", "using", "user", "request.addheader", "request.setheader", "setheader", "addheader", "header", "headers", "http.defaults.headers", "put", "set", "add", "param", "entry", "key", "id", "new", "return", "this", "self", "export", "default", "bean", "arg"}
 
 
-def _context(left: str, right: str = "") -> str:
-    """What names a value: the last identifiers to its left that aren't mere form, or the name attribute to its right."""
-    m = re.match(r"\s*(?:name|key|id)\s*=\s*[\"']([^\"']+)", right)
-    if m:
-        return m.group(1)
-    m = re.search(r"([A-Za-z_][\w.\-]*)[\"']?\s*(?:=>|:=|=|:)\s*$", left)
-    if m and m.group(1).lower() not in _FORM:
-        return m.group(1)  # assigned to
-    names = [x for x in _NAME.findall(left[-90:]) if x.lower() not in _FORM]
-    return " ".join(names[-3:])
+_NAMED_RIGHT = re.compile(r"\s*(?:name|key|id)\s*=\s*[\"']([^\"']+)")
+# Read from right to left: what a value is assigned to, and calls that fetch what they are given.
+_ASSIGNED = re.compile(r"\s*(?:>=|=:|=|:)\s*[\"']?([\w.\-]*[A-Za-z_])")
+_FETCHES = ["get", "getenv", "getParameter", "getItem", "get_secret", "getsecret", "decode", "decrypt", "lookup", "resolve", "env", "fetch", "find", "input", "prompt", "querySelector", "getElementById", "param", "bundle"]
+_FETCHED = re.compile(r"\s*[(\[]\s*(?:" + "|".join(n[::-1] for n in _FETCHES) + r"|\w*(?:daer|daol))", re.I)
+
+
+class Line:
+    """A line's names, found once from left to right, and what stands before and behind each of its values."""
+
+    def __init__(self, text: str, before: str = ""):
+        self.text, self.before = text, before  # ``before``: the line that this one goes on from
+        self.back = text[::-1]
+        self.names = [(m.end(), m.group()) for m in _NAME.finditer(text) if m.group().lower() not in _FORM]
+        self.ends = [e for e, _ in self.names]
+
+    def fetched(self, at: int) -> bool:
+        return bool(_FETCHED.match(self.back, len(self.text) - at))
+
+    def context(self, at: int, end: int | None = None) -> str:
+        """What names the value at ``at``: the last identifiers to its left that aren't mere form, however far, or the name attribute to its right."""
+        if end is not None:
+            m = _NAMED_RIGHT.match(self.text, end)
+            if m:
+                return m.group(1)
+        m = _ASSIGNED.match(self.back, len(self.text) - at)
+        if m and m.group(1)[::-1].lower() not in _FORM:
+            return m.group(1)[::-1]  # assigned to
+        k = bisect_right(self.ends, at)
+        names = [n for _, n in self.names[max(0, k - 3) : k]]
+        if not names and self.before:
+            above = Line(self.before.rstrip())
+            return above.context(len(above.text))
+        return " ".join(names)
 
 
 def _split_value(value: str, name: str, at: int) -> list[tuple[int, int, str, str, str]]:
@@ -112,21 +138,19 @@ def _split_value(value: str, name: str, at: int) -> list[tuple[int, int, str, st
     return [(at, at + len(value), "quoted", name, value)] if value else []
 
 
-def scan_line(line: str) -> list[tuple[int, int, str, str, str]]:
-    """Candidates of one line: (start, end, site, name, value)."""
+def scan_line(line: str, before: str = "") -> list[tuple[int, int, str, str, str]]:
+    """Candidates of one line: (start, end, site, name, value); ``before`` is the line that it goes on from."""
+    at = Line(line, before)
     m = _PEM.search(line)
     if m:
-        return [(m.start(), m.end(), "pem", _context(line[: m.start()]), m.group())]
+        return [(m.start(), m.end(), "pem", at.context(m.start()), m.group())]
     out = []
     for m in _QUOTED.finditer(line):
         k = m.lastindex
-        if k:
-            left = line[max(0, m.start() - NEAR) : m.start()]  # lines of minified files are long
-            if _FETCH.search(left):
-                continue
-            out += _split_value(m.group(k), _context(left, line[m.end() : m.end() + NEAR]), m.start(k))
+        if k and not at.fetched(m.start()):
+            out += _split_value(m.group(k), at.context(m.start(), m.end()), m.start(k))
     for m in _TAG.finditer(line):
-        out.append((m.start(1), m.end(1), "tag", _context(line[max(0, m.start() - NEAR) : m.start()]), m.group(1)))
+        out.append((m.start(1), m.end(1), "tag", at.context(m.start()), m.group(1)))
     for m in _CONNECT.finditer(line):
         out.append((m.start(1), m.end(1), "comment", "connect", m.group(1)))
     more = [(m.start(2), m.end(2), "tag", m.group(1), m.group(2)) for m in _LEAF.finditer(line)]
@@ -146,22 +170,43 @@ def scan_line(line: str) -> list[tuple[int, int, str, str, str]]:
     return out + [c for c in more if c[:2] not in taken]
 
 
-def hint_lines(text: str) -> list[tuple[int, int]]:
-    """Bounds of the lines that hold a hint, in order."""
+def hint_lines(text: str) -> list[tuple[int, int, int]]:
+    """Bounds of the lines that hold a hint, and of those that such a line goes on to, in order; and where the line before begins, if it goes on."""
     low = text.lower()
     if len(low) != len(text):  # a few characters change length when lowered
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    marks = set()
+    marks = {}
     for h in HINTS:
         at = low.find(h)
         while at >= 0:
             start = low.rfind("\n", 0, at) + 1
             end = low.find("\n", at)
-            marks.add((start, len(text) if end < 0 else end))
+            marks[start] = len(text) if end < 0 else end
             if end < 0:
                 break
             at = low.find(h, end)
-    return sorted(marks)
+    todo = sorted(marks.items())
+    out: dict[int, tuple[int, int, int]] = {a: (a, b, -1) for a, b in todo}
+    for a, b in todo:
+        while b < len(text) and _GOES_ON.search(text, a, b):
+            nxt = b + 1
+            end = text.find("\n", nxt)
+            end = len(text) if end < 0 else end
+            if not _BEGINS.match(text, nxt, end):
+                break
+            seen = nxt in out
+            out[nxt] = (nxt, end, a)
+            if seen:
+                break  # it goes on from there by itself
+            a, b = nxt, end
+    return [out[k] for k in sorted(out)]
+
+
+def _key_body(text: str, at: int) -> str | None:
+    """The first line of a private key's body behind its BEGIN mark at ``at``, before its END or the next BEGIN."""
+    end = text.find("-----", at)
+    m = _BODY.search(text, at, len(text) if end < 0 else end)
+    return m.group() if m else None
 
 
 def scan_text(text: str | None) -> list[tuple[int, int, int, str, str, str]]:
@@ -169,15 +214,14 @@ def scan_text(text: str | None) -> list[tuple[int, int, int, str, str, str]]:
     if not text:
         return []
     out, line_no, counted = [], 1, 0
-    for a, b in hint_lines(text):
+    for a, b, before in hint_lines(text):
         line_no += text.count("\n", counted, a)
         counted = a
-        for s, e, site, name, value in scan_line(text[a:b].rstrip("\r")):
+        for s, e, site, name, value in scan_line(text[a:b].rstrip("\r"), text[before : a - 1] if before >= 0 else ""):
             if site == "pem":
-                body = _BODY.search(text, a + e, a + e + 400)
-                if not body:
+                value = _key_body(text, a + e)  # the value is what follows; it stands where its mark begins
+                if value is None:
                     continue  # speaks of keys, holds none
-                value = body.group()  # the value is what follows; it stands where its mark begins
             out.append((line_no, a + s, a + e, site, name, value))
     return out
 
@@ -345,9 +389,10 @@ def train(cands: DataFrame) -> Detector:
     labelled = cut(cands.select("site", "name", "value", "path").mapInPandas(label, "site string, name string, value string, path string, label int").groupBy("site", "name", "value", "label").agg(F.max("path").alias("path")))
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows
     each = TRAIN_ROWS // 2
-    parts = [labelled.where((F.col("label") == k) & (F.pmod(F.xxhash64("site", "name", "value"), F.lit(-(-n // each))) == 0)).limit(each).toPandas() for k, n in sizes.items()]
-    parts.append(pd.DataFrame({"site": [], "name": [], "value": [], "label": [], "path": []}))
-    rows = pd.concat(parts).sample(frac=1.0, random_state=7)
+    mixed = F.xxhash64("site", "name", "value")
+    parts = [labelled.where((F.col("label") == k) & (F.pmod(mixed, F.lit(-(-n // each))) == 0)).withColumn("h", mixed).toPandas().sort_values(["h", "site", "name", "value"]).head(each) for k, n in sizes.items()]
+    parts.append(pd.DataFrame({"site": [], "name": [], "value": [], "label": [], "path": [], "h": []}))
+    rows = pd.concat(parts)  # the sample and its parts depend on the values alone, not on partitions
     if rows["label"].nunique() < 2:
         dim = len(features.of("quoted", "", "", None))
         return Detector(features, np.zeros(dim), np.ones(dim), (1.0, -20.0))
@@ -355,7 +400,7 @@ def train(cands: DataFrame) -> Detector:
     y = rows["label"].to_numpy(dtype=float)
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x = x / scale
-    held = np.arange(len(x)) % 5 == 0
+    held = (rows["h"].to_numpy(dtype=np.int64) >> 7) % 5 == 0
     weights = fit_logistic(x[~held], y[~held])
     z = (x[held] @ weights)[:, None]
     yh = y[held]
@@ -410,12 +455,12 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
             while at < len(text) and text[at] in " \t\r":
                 at += 1
             while at < len(text) and (text[at] == "\n" or text[at] == "+"):
-                m = _MORE.match(text[at + 1 :] if text[at] == "+" else text[at:].lstrip("\r\n"))
-                skip = at + 1 if text[at] == "+" else len(text) - len(text[at:].lstrip("\r\n"))
-                if not m or (text[at] == "\n" and not re.match(r"\s*(?:\+|\.\.|\|\|)", text[skip:])):
+                skip = at + 1 if text[at] == "+" else _BREAKS.match(text, at).end()
+                m = _MORE.match(text, skip)
+                if not m or (text[at] == "\n" and not _JOINED.match(text, skip)):
                     break
-                out += [text[last : skip + m.start(2)], MASK]
-                last = skip + m.end(2)
+                out += [text[last : m.start(2)], MASK]
+                last = m.end(2)
                 at = last + 1
                 while at < len(text) and text[at] in " \t\r":
                     at += 1
