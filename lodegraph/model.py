@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodegraph.session import table
 
+COMPONENT_COLUMNS = ("project_id", "file_id", "component_name", "component_type", "parent_component_id", "line_start", "line_end", "hash_value")
+EDGE_COLUMNS = ("project_id", "src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence", "meta", "created_at")
 NODE_TYPES = ("file", "class", "interface", "method", "sql_unit", "table")
 
 
@@ -26,18 +28,18 @@ class Model:
     def contents(self) -> DataFrame:
         return self.raw("file_contents").groupBy("file_id").agg(F.max("content").alias("content"))
 
-    def edges(self) -> DataFrame:
-        return (
-            self.raw("edges")
-            .select("edge_id", "project_id", F.lower("src_type").alias("src_type"), "src_id", F.lower("dst_type").alias("dst_type"), "dst_id", "edge_kind", "confidence", "meta", "created_at")
-            .distinct()
-        )
+    def edges(self, *columns: str) -> DataFrame:
+        """Edges without repeated rows: ids and the named columns, or all. Repeated rows are equal, so they go whatever
+        is named, and only what is named moves."""
+        lower = {c: F.lower(c).alias(c) for c in ("src_type", "dst_type")}
+        return self.raw("edges").select("edge_id", *[lower.get(c, c) for c in columns or EDGE_COLUMNS]).distinct()
 
     def hints(self) -> DataFrame:
         return self.raw("edge_hints").withColumn("src_type", F.lower("src_type")).distinct()
 
-    def components(self) -> DataFrame:
-        return self.raw("components").select("component_id", "project_id", "file_id", "component_name", "component_type", "parent_component_id", "line_start", "line_end", "hash_value").distinct()
+    def components(self, *columns: str) -> DataFrame:
+        """As :meth:`edges`, for components."""
+        return self.raw("components").select("component_id", *(columns or COMPONENT_COLUMNS)).distinct()
 
     def sql_units(self) -> DataFrame:
         return self.raw("sql_units").select("sql_id", "file_id", "origin", "mapper_ns", "stmt_id", "start_line", "end_line", "stmt_kind", "normalized_fingerprint").distinct()
@@ -53,7 +55,7 @@ class Model:
         files = self.files()
         owner = files.select("file_id", F.col("project_id").alias("pid"))
         f = files.select(F.lit("file").alias("node_type"), F.col("file_id").alias("node_id"), F.col("path").alias("label"), "file_id", "project_id")
-        c = self.components().where(F.col("component_type").isin("class", "interface", "method")).select(F.col("component_type").alias("node_type"), F.col("component_id").alias("node_id"), F.col("component_name").alias("label"), "file_id", "project_id")
+        c = self.components("project_id", "file_id", "component_name", "component_type").where(F.col("component_type").isin("class", "interface", "method")).select(F.col("component_type").alias("node_type"), F.col("component_id").alias("node_id"), F.col("component_name").alias("label"), "file_id", "project_id")
         s = self.sql_units().join(owner, "file_id", "left").select(F.lit("sql_unit").alias("node_type"), F.col("sql_id").alias("node_id"), F.coalesce("stmt_id", F.lit("?")).alias("label"), "file_id", F.col("pid").alias("project_id"))
         t = self.tables().select(F.lit("table").alias("node_type"), F.col("table_id").alias("node_id"), F.col("table_name").alias("label"), F.lit(None).cast("long").alias("file_id"), F.lit(None).cast("long").alias("project_id"))
         return f.unionByName(c).unionByName(s).unionByName(t)

@@ -70,3 +70,8 @@ def changed_files(before: DataFrame, after: DataFrame, key: str, digest: str) ->
     x = a.join(b, key, "full")
     change = F.when(F.col("_x").isNull(), "added").when(F.col("_y").isNull(), "deleted").when(~F.col("_a").eqNullSafe(F.col("_b")), "modified")
     return x.select(key, change.alias("change")).where("change is not null")
+
+
+def regenerated(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The table after all old rows were deleted and new ones put in: the new rows in the old one's columns."""
+    return new.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in old.columns])

@@ -64,21 +64,9 @@ def close_matches(names: DataFrame, column: str, wanted: str, k: int) -> DataFra
     return names.select(column, F.levenshtein(F.col(column), F.lit(wanted)).alias("distance")).orderBy("distance", column).limit(k)
 
 
-def calibrate(truth: DataFrame, first: range, second: range) -> DataFrame:
-    """Weights (percent) of a grid with the least absolute error against ``truth`` (x, y, z, truth).
-
-    The grid is a short literal, exploded next to each row; errors are summed before they move.
-    """
-    grid = [(a, b, 100 - a - b) for a in first for b in second if 5 <= 100 - a - b <= 40]
-    w = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in grid])
-    x = truth.select("x", "y", "z", "truth", F.inline(w))
-    err = F.abs(F.expr("a * x + b * y + c * z - 80 * truth"))
-    return x.groupBy("a", "b", "c").agg(F.sum(err).alias("err")).orderBy("err", "a", "b").limit(1)
-
-
-def sql_joins(df: DataFrame, key: str, text: str) -> DataFrame:
-    x = df.select(key, F.explode(sqltext.joins(text)).alias("j"))
-    return x.select(key, F.upper("j.target").alias("target"), "j.left", "j.right")
+def sql_joins(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    x = df.select(key, *more, F.explode(sqltext.joins(text)).alias("j"))
+    return x.select(key, F.upper("j.target").alias("target"), "j.left", "j.right", *more)
 
 
 def primary_keys(df: DataFrame, text: str) -> DataFrame:
@@ -140,15 +128,6 @@ def insert_to_select(df: DataFrame, key: str, text: str) -> DataFrame:
     return s.select(key, F.explode(F.array_intersect(filled, read)).alias("tab"))
 
 
-def scan_rules(df: DataFrame, key: str, text: str, path: str, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Findings per (file, line, kind): the first rule wins. A rule is (path suffix, kind, pattern)."""
-    hits = F.array_compact(F.array(*[F.when(F.col(path).endswith(e) & F.col("line").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(i).alias("rule"))) for i, (e, k, p) in enumerate(rules, 1)]))
-    wanted = df.where(F.col(text).isNotNull()).where(F.greatest(*[F.col(path).endswith(e) for e, _, _ in rules], F.lit(False)))
-    x = wanted.select(key, path, F.posexplode(F.split(text, "\n")).alias("_p", "line"))
-    x = x.select(key, (F.col("_p") + 1).alias("line_no"), F.inline(hits))
-    return x.groupBy(key, "line_no", "kind").agg(F.min("rule").alias("rule"))
-
-
 def parser_of(path: str, text: str) -> Column:
     p, c = F.col(path), F.col(text)
     return (

@@ -152,3 +152,65 @@ def grid_positions(nodes: DataFrame, key: str, columns: int, groups: str) -> Dat
     """Row and column of each node in its group's grid."""
     i = F.row_number().over(W.partitionBy(groups).orderBy(key)) - 1
     return nodes.select(groups, key, i.alias("_i")).select(groups, key, F.floor(F.col("_i") / columns).cast("int").alias("y"), (F.col("_i") % columns).alias("x"))
+
+
+#: Gain in modularity below which communities stay, and rounds without any that end a level.
+LEAST_GAIN = 1e-4
+
+
+def modularity(links: DataFrame, labels: DataFrame) -> float:
+    """Of weighted links in both directions (src, dst, w; loops once, with twice their weight) and labels (node, label)."""
+    a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+    x = links.join(a, "src").join(b, "dst").groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)).alias("inside"))
+    r = x.agg(F.sum("k").alias("m"), F.sum("inside").alias("i"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk")).first()
+    return r["i"] / r["m"] - r["kk"] / (float(r["m"]) * r["m"]) if r["m"] else 0.0
+
+
+def _moved(links: DataFrame) -> DataFrame:
+    """(node, label) after rounds of local moves: nodes go where modularity gains most, half of them in each round."""
+    degree = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+    total = float(degree.agg(F.sum("k")).first()[0] or 0)
+    labels, best = cut(degree.select("node", F.col("node").alias("label"))), None
+    still = 0
+    for r in count():
+        sizes = labels.join(degree, "node").groupBy("label").agg(F.sum("k").alias("size"))
+        near = links.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("w"))
+        own = labels.join(degree, "node").select("node", F.col("label").alias("own"), "k")
+        stay = own.select("node", F.col("own").alias("label"), F.lit(0).cast("long").alias("w"))
+        x = near.unionByName(stay).groupBy("node", "label").agg(F.sum("w").alias("w")).join(own, "node").join(sizes, "label")
+        others = F.col("size") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0)
+        gain = F.col("w") - others * F.col("k") / F.lit(total)
+        choice = x.groupBy("node", "own").agg(F.max(F.struct(gain.alias("gain"), (F.col("label") == F.col("own")).alias("stays"), F.col("label"))).alias("c"))
+        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0  # neighbours that swap sides together would never settle
+        labels = cut(choice.select("node", F.when(turn, F.col("c.label")).otherwise(F.col("own")).alias("label")))
+        now = modularity(links, labels)
+        still = still + 1 if best is not None and now - best[0] < LEAST_GAIN else 0
+        if best is None or now > best[0]:
+            best = (now, labels)
+        if still >= 2:
+            return best[1]
+
+
+def modularity_communities(edges: DataFrame) -> DataFrame:
+    """(node, community): local moves, then the same over communities as nodes, as long as modularity gains.
+
+    Every step is a join or aggregation over links; a community is named by one of its nodes. Edges
+    count by number, in either direction; nodes without resolved edges have none and are left out.
+    """
+    w = edges.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    links = cut(w.union(w.select(F.col("dst"), F.col("src"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    if links.isEmpty():
+        return links.select(F.col("src").alias("node"), F.col("src").alias("community"))
+    whole, quality = None, None
+    level = links
+    while True:
+        moved = _moved(level)
+        up = moved if whole is None else whole.withColumnRenamed("label", "mid").join(moved.withColumnRenamed("node", "mid"), "mid").select("node", "label")
+        up = cut(up)
+        now = modularity(links, up)
+        if quality is not None and now - quality < LEAST_GAIN:
+            break
+        whole, quality = up, now
+        a, b = moved.select(F.col("node").alias("src"), F.col("label").alias("a")), moved.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        level = cut(level.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    return whole.withColumnRenamed("label", "community")

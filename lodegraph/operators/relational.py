@@ -87,10 +87,16 @@ def resolve_calls(hints: DataFrame, components: DataFrame) -> DataFrame:
     """Target of each method-call hint: same parent, then same file, same project, anywhere."""
     x = hints.where("src_type = 'method'").select("hint_id", "src_id", F.get_json_object("hint", "$.called_name").alias("component_name")).where("component_name is not null")
     src = components.select(F.col("component_id").alias("src_id"), F.col("project_id").alias("sp"), F.col("file_id").alias("sf"), F.col("parent_component_id").alias("sc"))
-    d = components.where("component_type = 'method'").select("component_name", F.col("component_id").alias("target"), "project_id", "file_id", "parent_component_id")
-    tier = F.when(F.col("parent_component_id") == F.col("sc"), 1).when(F.col("file_id") == F.col("sf"), 2).when(F.col("project_id") == F.col("sp"), 3).otherwise(4)
-    best = x.join(src, "src_id").join(d, "component_name").groupBy("hint_id").agg(F.min(F.struct(tier.alias("tier"), "target")).alias("best"))
-    return best.select("hint_id", "best.target", "best.tier")
+    # per tier the least target of each key: a name that thousands of methods bear is one row, not a product
+    m = components.where("component_type = 'method' and component_name is not null")
+    x = x.join(src, "src_id").select("hint_id", "component_name", F.col("sc").alias("parent_component_id"), F.col("sf").alias("file_id"), F.col("sp").alias("project_id"))
+    tiers = ("parent_component_id", "file_id", "project_id", None)
+    for i, key in enumerate(tiers, 1):
+        keys = ["component_name"] + ([key] if key else [])
+        x = x.join(m.groupBy(*keys).agg(F.min("component_id").alias(f"t{i}")), keys, "left")
+    best = F.coalesce(*[F.when(F.col(f"t{i}").isNotNull(), F.struct(F.lit(i).alias("tier"), F.col(f"t{i}").alias("target"))) for i in range(1, 5)])
+    one = x.where(best.isNotNull()).groupBy("hint_id").agg(F.min(best).alias("best"))
+    return one.select("hint_id", "best.target", "best.tier")
 
 
 def default_first(df: DataFrame, keys: list[str], column: str, default: str, id_col: str) -> DataFrame:
@@ -186,10 +192,14 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 
-def best_overload(hints: DataFrame, components: DataFrame, params: Column) -> DataFrame:
-    """Overload whose number of parameters is nearest: 10, 5 or 1 points, then the smallest id."""
+def best_overload(hints: DataFrame, components: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Overload whose number of parameters is nearest: 10, 5 or 1 points, then the smallest id.
+
+    ``signatures`` is (file_id, component_name, params) as the sources declare them. Of a name's
+    methods with equally many parameters only the smallest id can win, so a popular name is a few rows.
+    """
     x = hints.select("hint_id", F.get_json_object("hint", "$.called_name").alias("component_name"), F.expr("try_cast(get_json_object(hint, '$.arg_count') as bigint)").alias("args")).where("args is not null")
-    d = components.where("component_type = 'method'").select("component_name", "component_id", params.alias("params"))
+    d = components.where("component_type = 'method'").join(signatures, ["file_id", "component_name"]).groupBy("component_name", "params").agg(F.min("component_id").alias("component_id"))
     gap = F.abs(F.col("args") - F.col("params"))
     score = F.when(gap == 0, 10).when(gap == 1, 5).otherwise(1)
     best = x.join(d, "component_name").groupBy("hint_id").agg(F.min(F.struct((-score).alias("s"), "component_id")).alias("b"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.functions import paths, sqltext
+from lodegraph.functions import findings, paths, sqltext
 from lodegraph.model import COMPONENTS, CONTENTS, EDGES, FILES, HINTS, NODES, UNITS, Model
 from lodegraph.operators import dml as D
 from lodegraph.operators import extract as X
 from lodegraph.operators import graph as G
 from lodegraph.operators import relational as R
+from lodegraph.plans.scores import FOUND
 from lodegraph.sources import sinks as K
 
 _Q: dict = {}
@@ -37,19 +38,19 @@ def _start(m: Model, *nodes: str):
 
 @query(f"WITH RECURSIVE {_KEYED}, {_PAIRS}, u AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p), b AS (SELECT 'file:10' AS node, 0 AS depth UNION SELECT u.dst, b.depth + 1 FROM b JOIN u ON u.src = b.node WHERE b.depth < 2), near AS (SELECT DISTINCT node FROM b) SELECT edge_id FROM k WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)")
 def ref_g1_focus(m):
-    return G.focus(G.keyed(m.edges()), _start(m, "file:10"), 2).select("edge_id")
+    return G.focus(G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence")), _start(m, "file:10"), 2).select("edge_id")
 
 
 @query(f"WITH RECURSIVE {_KEYED}, {_PAIRS}, b AS (SELECT src AS node, 0 AS depth FROM (SELECT src FROM k WHERE src LIKE 'method:%' GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 3) UNION SELECT p.dst, b.depth + 1 FROM b JOIN p ON p.src = b.node WHERE b.depth < 2), v AS (SELECT node, min(depth) AS depth FROM b GROUP BY 1) SELECT k.edge_id, v.depth, k.src, coalesce(k.dst, 'unresolved:' || k.edge_id) AS dst FROM k JOIN v ON v.node = k.src")
 def ref_g3_call_trace(m):
-    e = G.keyed(m.edges())
+    e = G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence"))
     starts = e.where("src like 'method:%'").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").limit(3)
     return G.trace(e, starts, 3)
 
 
 @query(f"WITH RECURSIVE {_KEYED}, {_PAIRS}, b AS (SELECT src AS node, 0 AS depth FROM (SELECT src FROM k WHERE src LIKE 'class:%' GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 3) UNION SELECT p.dst, b.depth + 1 FROM b JOIN p ON p.src = b.node WHERE b.depth < 3), v AS (SELECT node, min(depth) AS depth FROM b GROUP BY 1) SELECT k.edge_id, v.depth, k.src, k.dst FROM k JOIN v ON v.node = k.src WHERE k.dst IS NOT NULL")
 def ref_g3b_resolved_trace(m):
-    e = G.keyed(m.edges())
+    e = G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence"))
     starts = e.where("src like 'class:%'").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").limit(3)
     return G.trace(e, starts, 4, unresolved=False)
 
@@ -58,14 +59,14 @@ def ref_g3b_resolved_trace(m):
 def ref_g4_three_layer_flow(m):
     views = m.files().where("path like '%.jsp'").select(F.col("path").alias("view"))
     units = m.sql_units().where("origin = 'jsp'").select(F.col("sql_id").alias("unit"))
-    uses = m.edges().where("src_type = 'sql_unit' and edge_kind = 'use_table' and confidence >= 0.3 and dst_id is not null").select(F.col("src_id").alias("unit"), F.col("dst_id").alias("used")).distinct()
+    uses = m.edges("src_type", "src_id", "dst_id", "edge_kind", "confidence").where("src_type = 'sql_unit' and edge_kind = 'use_table' and confidence >= 0.3 and dst_id is not null").select(F.col("src_id").alias("unit"), F.col("dst_id").alias("used")).distinct()
     return G.positional_flow(views, units, uses, 5, 10)
 
 
 @query(f"WITH {EDGES}, {COMPONENTS}, calls AS (SELECT src_id AS id, count(*) AS n FROM e WHERE src_type = 'method' AND edge_kind = 'call' GROUP BY 1), x AS (SELECT component_id, 10 AS priority, 'controller' AS reason FROM c WHERE component_type = 'class' AND component_name LIKE '%Controller%' UNION ALL SELECT component_id, least(7, n), 'calls' FROM c JOIN calls ON calls.id = c.component_id WHERE c.component_type = 'method' AND n >= 2) SELECT component_id, priority, reason FROM x ORDER BY priority DESC, component_id, reason LIMIT 30")
 def ref_g5_entry_points(m):
-    calls = m.edges().where("src_type = 'method' and edge_kind = 'call'").groupBy(F.col("src_id").alias("component_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    c = m.components()
+    calls = m.edges("src_type", "src_id", "edge_kind").where("src_type = 'method' and edge_kind = 'call'").groupBy(F.col("src_id").alias("component_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    c = m.components("component_name", "component_type")
     a = c.where("component_type = 'class'").where(F.col("component_name").contains("Controller")).select("component_id", F.lit(10).cast("long").alias("priority"), F.lit("controller").alias("reason"))
     b = c.where("component_type = 'method'").join(calls, "component_id").select("component_id", F.least(F.lit(7), "n").cast("long").alias("priority"), F.lit("calls").alias("reason"))
     return a.unionByName(b).orderBy(F.desc("priority"), "component_id", "reason").limit(30)
@@ -73,7 +74,7 @@ def ref_g5_entry_points(m):
 
 @query(f"WITH RECURSIVE {_KEYED}, {_PAIRS}, b AS (SELECT src AS start, src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM p WHERE src LIKE 'method:%' ORDER BY src LIMIT 20) UNION SELECT b.start, p.dst, b.depth + 1 FROM b JOIN p ON p.src = b.node WHERE b.depth < 4), v AS (SELECT start, node, min(depth) AS depth FROM b GROUP BY 1, 2) SELECT start, max(depth) AS depth, count(*) AS nodes FROM v GROUP BY 1")
 def ref_g6_chain_depth(m):
-    e = G.keyed(m.edges())
+    e = G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence"))
     starts = e.where("dst is not null and src like 'method:%'").select(F.col("src").alias("node")).distinct().orderBy("node").limit(20)
     return G.chain_depth(e, starts, 4)
 
@@ -81,48 +82,48 @@ def ref_g6_chain_depth(m):
 @query()
 def ref_g6_full_chain_depth(m):
     """As :func:`ref_g6_chain_depth`, whose SQL ends at depth 4, but to the end of every chain."""
-    e = G.keyed(m.edges())
+    e = G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence"))
     starts = e.where("dst is not null and src like 'method:%'").select(F.col("src").alias("node")).distinct().orderBy("node").limit(20)
     return G.chain_depth(e, starts)
 
 
 @query()
 def ref_g7_topological_levels(m):
-    return G.topological_levels(G.keyed(m.edges().where("edge_kind in ('extends', 'implements')")))
+    return G.topological_levels(G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence").where("edge_kind in ('extends', 'implements')")))
 
 
 @query(f"WITH {_KEYED}, {_PAIRS} SELECT a.src AS node1, a.dst AS node2 FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
 def ref_g8_two_cycles(m):
-    return G.mutual(G.keyed(m.edges()))
+    return G.mutual(G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence")))
 
 
 @query()
 def ref_g9_communities(m):
-    return G.label_propagation(G.keyed(m.edges()))
+    return G.label_propagation(G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence")))
 
 
 @query(f"WITH RECURSIVE {_KEYED}, p AS (SELECT DISTINCT src, dst FROM k WHERE dst IS NOT NULL AND edge_kind = 'implements'), u AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p), b AS (SELECT DISTINCT src AS node, src AS root FROM u UNION SELECT u.dst, b.root FROM b JOIN u ON u.src = b.node WHERE b.root < u.dst OR true) SELECT node, min(root) AS component FROM b GROUP BY 1")
 def ref_g9_connected_components(m):
-    return G.components(G.keyed(m.edges().where("edge_kind = 'implements'")))
+    return G.components(G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence").where("edge_kind = 'implements'")))
 
 
 @query()
 def ref_g9_all_components(m):
     """As :func:`ref_g9_connected_components`, whose SQL takes only implements edges, but over all resolved edges."""
-    return G.components(G.keyed(m.edges()))
+    return G.components(G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence")))
 
 
 @query(f"WITH {EDGES}, {FILES}, {UNITS}, d AS (SELECT 'file:' || file_id AS node, regexp_extract(path, '^([^/]+/[^/]+)', 1) AS cluster FROM f), t AS (SELECT 'sql_unit:' || src_id AS node, 'table:' || max(dst_id) AS cluster FROM e WHERE edge_kind = 'use_table' AND dst_type = 'table' AND dst_id IS NOT NULL AND src_type = 'sql_unit' GROUP BY 1) SELECT node, cluster FROM d UNION ALL SELECT node, cluster FROM t")
 def ref_g10_rule_clusters(m):
     d = m.files().select(F.concat(F.lit("file:"), F.col("file_id").cast("string")).alias("node"), F.regexp_extract("path", "^([^/]+/[^/]+)", 1).alias("cluster"))
-    t = m.edges().where("edge_kind = 'use_table' and dst_type = 'table' and dst_id is not null and src_type = 'sql_unit'").groupBy("src_id").agg(F.max("dst_id").alias("t"))
+    t = m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind").where("edge_kind = 'use_table' and dst_type = 'table' and dst_id is not null and src_type = 'sql_unit'").groupBy("src_id").agg(F.max("dst_id").alias("t"))
     return d.unionByName(t.select(F.concat(F.lit("sql_unit:"), F.col("src_id").cast("string")).alias("node"), F.concat(F.lit("table:"), F.col("t").cast("string")).alias("cluster")))
 
 
 @query(f"WITH {EDGES}, {NODES}, x AS (SELECT regexp_extract(fa.path, '^([^/]+)/', 1) AS a, regexp_extract(fb.path, '^([^/]+)/', 1) AS b, e.edge_kind, e.confidence FROM e JOIN n na ON na.node_type = e.src_type AND na.node_id = e.src_id JOIN n nb ON nb.node_type = e.dst_type AND nb.node_id = e.dst_id JOIN f fa ON fa.file_id = na.file_id JOIN f fb ON fb.file_id = nb.file_id) SELECT a AS src_component, b AS dst_component, count(*) AS edges, CASE WHEN count(DISTINCT edge_kind) > 1 THEN 'mixed' ELSE min(edge_kind) END AS kind FROM x WHERE a <> b GROUP BY 1, 2")
 def ref_g11_component_rollup(m):
     n = m.nodes().join(m.files().select("file_id", F.regexp_extract("path", "^([^/]+)/", 1).alias("component")), "file_id")
-    return R.pair_rollup(m.edges(), n, "component", "src_component", "dst_component").where("src_component <> dst_component").select("src_component", "dst_component", "edges", "kind")
+    return R.pair_rollup(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence"), n, "component", "src_component", "dst_component").where("src_component <> dst_component").select("src_component", "dst_component", "edges", "kind")
 
 
 _CLEAN = r"regexp_replace(regexp_replace(content, '/\*[^*]*\*+([^/*][^*]*\*+)*/', ' ', 'g'), '--[^\n]*', ' ', 'g')"
@@ -154,7 +155,7 @@ def ref_g12_erd_edges(m):
 
 @query(f"WITH {COMPONENTS}, k AS (SELECT parent_component_id AS class_id, component_name AS name, row_number() OVER (PARTITION BY parent_component_id ORDER BY component_name, component_id) AS rn FROM c WHERE component_type = 'method' AND parent_component_id IS NOT NULL) SELECT class_id, string_agg(name, ',' ORDER BY rn) FILTER (rn <= 10) AS methods, count(*) AS total FROM k GROUP BY 1")
 def ref_g13_class_diagram(m):
-    k = m.components().where("component_type = 'method' and parent_component_id is not null").select(F.col("parent_component_id").alias("class_id"), F.col("component_name").alias("name"), "component_id")
+    k = m.components("component_name", "component_type", "parent_component_id").where("component_type = 'method' and parent_component_id is not null").select(F.col("parent_component_id").alias("class_id"), F.col("component_name").alias("name"), "component_id")
     rn = F.row_number().over(W.partitionBy("class_id").orderBy("name", "component_id"))
     k = k.withColumn("rn", rn)
     first = F.sort_array(F.collect_list(F.when(F.col("rn") <= 10, F.struct("rn", "name"))))
@@ -163,19 +164,19 @@ def ref_g13_class_diagram(m):
 
 @query(f"WITH {EDGES}, x AS (SELECT least(src_type || ':' || src_id, dst_type || ':' || dst_id) AS a, greatest(src_type || ':' || src_id, dst_type || ':' || dst_id) AS b, CASE edge_kind WHEN 'extends' THEN 90 WHEN 'implements' THEN 90 WHEN 'use_table' THEN 75 WHEN 'call' THEN 70 WHEN 'include' THEN 60 ELSE 50 END AS score, edge_kind FROM e WHERE dst_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, edge_kind) AS rn FROM x) SELECT a AS node1, b AS node2, score FROM r WHERE rn = 1 AND score >= 75 ORDER BY score DESC, a, b LIMIT 200")
 def ref_g14_relatedness_graph(m):
-    return R.best_per_pair(m.edges()).where("score >= 75").orderBy(F.desc("score"), "node1", "node2").limit(200).select("node1", "node2", "score")
+    return R.best_per_pair(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind")).where("score >= 75").orderBy(F.desc("score"), "node1", "node2").limit(200).select("node1", "node2", "score")
 
 
 @query(f"WITH {COMPONENTS} SELECT project_id, component_id, CAST((row_number() OVER (PARTITION BY project_id ORDER BY component_id) - 1) // 8 AS INTEGER) AS y, (row_number() OVER (PARTITION BY project_id ORDER BY component_id) - 1) % 8 AS x FROM c WHERE component_type = 'class'")
 def ref_g15_grid_positions(m):
-    return G.grid_positions(m.components().where("component_type = 'class'"), "component_id", 8, "project_id")
+    return G.grid_positions(m.components("project_id", "component_type").where("component_type = 'class'"), "component_id", 8, "project_id")
 
 
 @query(f"WITH {FILES}, {COMPONENTS}, k AS (SELECT file_id, count(*) FILTER (component_type = 'class') AS classes, count(*) FILTER (component_type = 'method') AS methods, string_agg(component_name, ',' ORDER BY component_id) FILTER (component_type = 'class') AS names FROM c GROUP BY 1) SELECT f.file_id, f.path, k.classes, k.methods, k.names FROM f JOIN k USING (file_id)")
 def ref_g16_hierarchy_assembly(m):
     c = F.col("component_type")
     names = F.sort_array(F.collect_list(F.when(c == "class", F.struct("component_id", "component_name"))))
-    k = m.components().groupBy("file_id").agg(F.count_if(c == "class").alias("classes"), F.count_if(c == "method").alias("methods"), names.alias("l"))
+    k = m.components("file_id", "component_name", "component_type").groupBy("file_id").agg(F.count_if(c == "class").alias("classes"), F.count_if(c == "method").alias("methods"), names.alias("l"))
     k = k.withColumn("names", F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: x["component_name"]), ",")))
     return m.files().join(k, "file_id").select("file_id", "path", "classes", "methods", "names")
 
@@ -184,7 +185,7 @@ def ref_g16_hierarchy_assembly(m):
 def ref_g17_call_resolution(m):
     x = m.hints().where("src_type = 'method' and hint_type = 'method_call' and confidence is not null").where(F.expr("try_parse_json(hint) is not null"))
     x = x.select("hint_id", F.round(F.col("confidence") * 100).cast("long").alias("p"), F.get_json_object("hint", "$.called_name").alias("component_name"))
-    n = m.components().where("component_type = 'method'").groupBy("component_name").agg(F.min("component_id").alias("target"))
+    n = m.components("component_name", "component_type").where("component_type = 'method'").groupBy("component_name").agg(F.min("component_id").alias("target"))
     return x.join(n, "component_name", "left").select("hint_id", "target", F.when(F.col("target").isNotNull(), F.least(F.lit(100), F.col("p") + 20)).otherwise(F.greatest(F.lit(10), F.col("p") - 30)).alias("pct"))
 
 
@@ -207,8 +208,8 @@ def ref_g19_table_usage(m):
 
 @query(f"WITH {EDGES}, {COMPONENTS}, x AS (SELECT edge_id, json_extract_string(meta, '$.called_name') AS called FROM e WHERE dst_id IS NULL AND meta IS NOT NULL AND json_valid(meta)), n AS (SELECT component_name, min(component_id) AS target FROM c WHERE component_type = 'method' GROUP BY 1) SELECT x.edge_id, n.target FROM x JOIN n ON n.component_name = x.called")
 def ref_g20_edge_repair(m):
-    x = m.edges().where("dst_id is null and meta is not null").select("edge_id", F.get_json_object("meta", "$.called_name").alias("component_name"))
-    n = m.components().where("component_type = 'method'").groupBy("component_name").agg(F.min("component_id").alias("target"))
+    x = m.edges("dst_id", "meta").where("dst_id is null and meta is not null").select("edge_id", F.get_json_object("meta", "$.called_name").alias("component_name"))
+    n = m.components("component_name", "component_type").where("component_type = 'method'").groupBy("component_name").agg(F.min("component_id").alias("target"))
     return x.join(n, "component_name").select("edge_id", "target")
 
 
@@ -221,7 +222,7 @@ def ref_g21_package_fallback(m):
 @query(f"WITH {EDGES} SELECT project_id, bool_or(edge_kind = 'call') AS calls, bool_or(edge_kind = 'use_table') AS tables, bool_or(edge_kind IN ('extends', 'implements')) AS inheritance, bool_or(dst_id IS NULL) AS unresolved, count(DISTINCT edge_kind) AS kinds FROM e GROUP BY 1")
 def ref_g22_pattern_availability(m):
     k = F.col("edge_kind")
-    return m.edges().groupBy("project_id").agg(F.bool_or(k == "call").alias("calls"), F.bool_or(k == "use_table").alias("tables"), F.bool_or(k.isin("extends", "implements")).alias("inheritance"), F.bool_or(F.col("dst_id").isNull()).alias("unresolved"), F.countDistinct("edge_kind").alias("kinds"))
+    return m.edges("project_id", "dst_id", "edge_kind").groupBy("project_id").agg(F.bool_or(k == "call").alias("calls"), F.bool_or(k == "use_table").alias("tables"), F.bool_or(k.isin("extends", "implements")).alias("inheritance"), F.bool_or(F.col("dst_id").isNull()).alias("unresolved"), F.countDistinct("edge_kind").alias("kinds"))
 
 
 # M: maintenance ---------------------------------------------------------------------
@@ -292,7 +293,7 @@ def ref_incremental_changes(m):
 # K: exports ------------------------------------------------------------------------
 @query(f"WITH {EDGES} SELECT edge_id AS id, src_type || ':' || src_id AS source, dst_type || ':' || dst_id AS target, edge_kind AS kind, confidence FROM e WHERE dst_id IS NOT NULL AND (confidence >= 0.7 OR edge_kind IN ('extends', 'implements'))")
 def ref_k2_edge_rows(m):
-    return K.edge_rows(m.edges(), 0.7, ["extends", "implements"])
+    return K.edge_rows(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence"), 0.7, ["extends", "implements"])
 
 
 @query(f"WITH {NODES} SELECT node_type || ':' || node_id AS id, label, node_type AS type, CAST(coalesce(project_id, -1) AS VARCHAR) AS grp FROM n")
@@ -302,14 +303,14 @@ def ref_k2_node_rows(m):
 
 @query(f"WITH {EDGES} SELECT '    ' || regexp_replace(src_type || '_' || src_id, '[^A-Za-z0-9_]', '_', 'g') || ' -->|' || edge_kind || '| ' || regexp_replace(dst_type || '_' || dst_id, '[^A-Za-z0-9_]', '_', 'g') AS line, count(*) AS n FROM e WHERE dst_id IS NOT NULL AND confidence >= 0.8 GROUP BY 1")
 def ref_k3_mermaid_lines(m):
-    return K.mermaid_lines(m.edges().where("dst_id is not null and confidence >= 0.8")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return K.mermaid_lines(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence").where("dst_id is not null and confidence >= 0.8")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {FILES}, {CONTENTS}, l AS (SELECT t.file_id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM t JOIN f USING (file_id) WHERE content IS NOT NULL AND path LIKE '%.jsp') SELECT file_id, CAST(line_no AS INTEGER) AS line_no, 'xss' AS rule_id, 'warning' AS level, path AS uri FROM l WHERE regexp_matches(line, '<%=[^%]*%>')")
+@query(f"{FOUND} SELECT o.file_id, CAST(line_no AS INTEGER) AS line_no, kind AS rule_id, CASE severity WHEN 'medium' THEN 'warning' ELSE 'error' END AS level, path AS uri FROM o JOIN f USING (file_id) WHERE rn = 1")
 def ref_k5_findings(m):
     x = m.contents().join(m.files().select("file_id", "path"), "file_id")
-    hits = X.scan_rules(x, "file_id", "content", "path", [(".jsp", "xss", r"<%=[^%]*%>")])
-    return hits.join(m.files().select("file_id", F.col("path").alias("uri")), "file_id").select("file_id", "line_no", F.col("kind").alias("rule_id"), F.lit("warning").alias("level"), "uri")
+    hits = findings.scan(x, "file_id", "content", "path").join(m.files().select("file_id", F.col("path").alias("uri")), "file_id")
+    return hits.select("file_id", "line_no", F.col("kind").alias("rule_id"), F.when(F.col("severity") == "medium", "warning").otherwise("error").alias("level"), "uri")
 
 
 @query(f"WITH {NODES} SELECT node_type, node_id, label FROM n WHERE file_id = 10 OR label LIKE '%DepotDao%'")

@@ -129,7 +129,7 @@ def ref_x24_context_edges(m):
 
 @query(f"WITH {COMPONENTS}, {FILES} SELECT c.component_id, c.component_name, f.path, p.name AS project, b.component_name AS parent FROM c JOIN f ON f.file_id = c.file_id JOIN projects p ON p.project_id = f.project_id LEFT JOIN c b ON b.component_id = c.parent_component_id WHERE c.component_type IN ('class', 'interface')")
 def ref_j9_component_view(m):
-    c = m.components()
+    c = m.components("project_id", "file_id", "component_name", "component_type", "parent_component_id")
     b = c.select(F.col("component_id").alias("parent_component_id"), F.col("component_name").alias("parent"))
     x = c.where("component_type in ('class', 'interface')").drop("project_id").join(m.files().select("file_id", "path", "project_id"), "file_id").join(m.projects().select("project_id", F.col("name").alias("project")), "project_id")
     return x.join(b, "parent_component_id", "left").select("component_id", "component_name", "path", "project", "parent")

@@ -100,7 +100,7 @@ def ref_f12_parameter_count(m):
 
 @query(f"WITH {COMPONENTS} SELECT regexp_replace(component_name, '(Service|Controller|Repository|DAO|DTO|VO|Impl|Test)$', '') AS base, count(*) AS n FROM c WHERE component_type = 'class' GROUP BY 1")
 def ref_f13_suffix_strip(m):
-    return m.components().where("component_type = 'class'").groupBy(code.suffix_stripped("component_name").alias("base")).agg(F.count(F.lit(1)).alias("n"))
+    return m.components("component_name", "component_type").where("component_type = 'class'").groupBy(code.suffix_stripped("component_name").alias("base")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {FILES} SELECT file_id, CASE WHEN lower(path) LIKE '%controller%' THEN 'web' WHEN lower(path) LIKE '%service%' THEN 'business' WHEN lower(path) LIKE '%mapper%' OR lower(path) LIKE '%dao%' OR path LIKE '%.sql' THEN 'data' WHEN path LIKE '%.jsp' OR path LIKE '%.js' OR path LIKE '%.css' THEN 'view' ELSE 'other' END AS grp FROM f")
@@ -110,29 +110,6 @@ def ref_f14_group_guess(m):
     return m.files().select("file_id", g.alias("grp"))
 
 
-@query(f"WITH {FILES} SELECT file_id, CASE WHEN regexp_matches(path, '/java/com/([a-z]+)/') THEN regexp_extract(path, '/java/com/([a-z]+)/', 1) WHEN regexp_matches(path, '^([^/]+)/db/') THEN 'database' WHEN regexp_matches(path, '/webapp/') THEN 'webapp' WHEN regexp_matches(path, '/resources/') THEN 'resources' ELSE 'misc' END AS component FROM f")
-def ref_f15_rule_groups(m):
-    return m.files().select("file_id", X.by_rules("path", [(r"/java/com/([a-z]+)/", 1), (r"^([^/]+)/db/", "database"), (r"/webapp/", "webapp"), (r"/resources/", "resources")], "misc").alias("component"))
-
-
-@query(f"WITH {COMPONENTS} SELECT component_id, CASE WHEN contains(component_name, 'Controller') THEN 'presentation' WHEN contains(component_name, 'Service') THEN 'business' WHEN contains(component_name, 'Dao') OR contains(component_name, 'Mapper') OR contains(component_name, 'Repository') THEN 'persistence' ELSE 'unknown' END AS layer FROM c WHERE component_type = 'class'")
-def ref_f16_layer_by_name(m):
-    n = F.col("component_name")
-    layer = F.when(n.contains("Controller"), "presentation").when(n.contains("Service"), "business").when(n.contains("Dao") | n.contains("Mapper") | n.contains("Repository"), "persistence").otherwise("unknown")
-    return m.components().where("component_type = 'class'").select("component_id", layer.alias("layer"))
-
-
-@query(f"WITH {FILES}, x AS (SELECT file_id, loc, file_id % 25 AS cx FROM f WHERE loc IS NOT NULL), y AS (SELECT *, CASE WHEN loc <= 100 THEN 'low' WHEN loc <= 300 THEN 'med' WHEN loc <= 800 THEN 'high' ELSE 'crit' END AS base FROM x) SELECT file_id, CASE WHEN cx >= 20 AND base IN ('low', 'med') THEN 'high' ELSE base END AS bin FROM y")
-def ref_f17_hotspot_bin(m):
-    return m.files().where("loc is not null").select("file_id", scoring.hotspot("loc", F.col("file_id") % 25).alias("bin"))
-
-
-@query(f"WITH {FILES}, x AS (SELECT file_id, (file_id % 11) / 10.0 AS a, least(loc, 1000) / 1000.0 AS b, (file_id % 7) / 6.0 AS c FROM f WHERE loc IS NOT NULL), y AS (SELECT file_id, CAST(0.4 AS DOUBLE) * CAST(a AS DOUBLE) + CAST(0.3 AS DOUBLE) * CAST(b AS DOUBLE) + CAST(0.3 AS DOUBLE) * CAST(c AS DOUBLE) AS score FROM x) SELECT file_id, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'hot' WHEN score >= 0.4 THEN 'warm' ELSE 'cool' END AS level FROM y")
-def ref_f18_heat_level(m):
-    x = m.files().where("loc is not null").select("file_id", scoring.heat((F.col("file_id") % 11) / 10, F.least("loc", F.lit(1000)) / 1000, (F.col("file_id") % 7) / 6).alias("score"))
-    return x.select("file_id", scoring.heat_level("score").alias("level"))
-
-
 @query(f"WITH {FILES} SELECT DISTINCT regexp_replace(lower(regexp_extract(path, '^([^/]+)/', 1)), '[^a-z0-9]+', '_', 'g') AS cluster FROM f")
 def ref_f19_sanitised_name(m):
     return m.files().select(F.regexp_replace(F.lower(F.regexp_extract("path", "^([^/]+)/", 1)), "[^a-z0-9]+", "_").alias("cluster")).distinct()
@@ -177,21 +154,14 @@ def ref_f25_token_count(m):
 
 @query(f"WITH {COMPONENTS} SELECT CASE WHEN component_name IN ('toString', 'equals', 'hashCode') THEN 'object' WHEN starts_with(component_name, 'get') THEN 'getter' WHEN starts_with(component_name, 'set') THEN 'setter' WHEN starts_with(component_name, 'is') THEN 'predicate' ELSE 'other' END AS kind, count(*) AS n FROM c WHERE component_type = 'method' GROUP BY 1")
 def ref_f26_summary_kind(m):
-    return m.components().where("component_type = 'method'").groupBy(code.summary_kind("component_name").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return m.components("component_name", "component_type").where("component_type = 'method'").groupBy(code.summary_kind("component_name").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {COMPONENTS} SELECT component_id, CASE WHEN regexp_matches(component_name, '^(init|open|start|load)') THEN 0 WHEN regexp_matches(component_name, '^(check|find|select)') THEN 1 WHEN regexp_matches(component_name, '^(save|update|insert)') THEN 3 WHEN regexp_matches(component_name, '^(close|archive|notify)') THEN 4 ELSE 2 END AS pr FROM c WHERE component_type = 'method'")
 def ref_f27_call_order(m):
     from lodegraph.operators.relational import call_order
 
-    return m.components().where("component_type = 'method'").select("component_id", call_order("component_name").alias("pr"))
-
-
-@query(f"WITH {FILES}, x AS (SELECT file_id, CASE WHEN loc > 300 THEN 'advanced' WHEN loc > 100 THEN 'intermediate' ELSE 'beginner' END AS level, loc FROM f WHERE loc IS NOT NULL) SELECT file_id, level, least(5, greatest(1, CASE level WHEN 'advanced' THEN 4 WHEN 'intermediate' THEN 3 ELSE 2 END + CASE WHEN loc > 800 THEN 2 ELSE 0 END)) AS priority FROM x")
-def ref_f28_learning_priority(m):
-    level = F.when(F.col("loc") > 300, "advanced").when(F.col("loc") > 100, "intermediate").otherwise("beginner")
-    base = F.when(F.col("level") == "advanced", 4).when(F.col("level") == "intermediate", 3).otherwise(2) + F.when(F.col("loc") > 800, 2).otherwise(0)
-    return m.files().where("loc is not null").withColumn("level", level).select("file_id", "level", F.least(F.lit(5), F.greatest(F.lit(1), base)).alias("priority"))
+    return m.components("component_name", "component_type").where("component_type = 'method'").select("component_id", call_order("component_name").alias("pr"))
 
 
 @query("WITH a AS (SELECT DISTINCT table_name FROM db_tables) SELECT table_name, levenshtein(table_name, 'T_VENDOR_MST') AS distance FROM a ORDER BY distance, table_name LIMIT 5")
@@ -201,86 +171,15 @@ def ref_f30_close_matches(m):
 
 @query(f"WITH {EDGES} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM e GROUP BY 1")
 def ref_f31_date_label(m):
-    return m.edges().groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return m.edges("created_at").groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # C: scoring models ---------------------------------------------------------------
-_PARSE = "p AS (SELECT file_id, file_id % 9 <> 0 AS ok, file_id % 3 = 0 AS complete, file_id % 3 = 1 AS part, file_id % 5 = 0 AS fb, CAST(file_id % 13 AS DOUBLE) AS secs, file_id % 17 AS els, file_id % 11 AS hit, file_id % 4 * 5 AS tot, file_id % 2 = 0 AS cat, lower(coalesce(language, '')) AS lang FROM f)"
-_AST = "CASE WHEN ok THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN complete THEN 0.5::DOUBLE WHEN part THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN fb THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN secs < 1 THEN 0.1::DOUBLE WHEN secs > 10 THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END + least(0.1::DOUBLE, els * 0.01::DOUBLE))) ELSE 0.0::DOUBLE END"
-_STATIC = "CASE WHEN tot = 0 THEN 0.5 WHEN hit * 10 >= tot * 9 THEN 1.0 WHEN hit * 10 >= tot * 7 THEN 0.8 WHEN hit * 10 >= tot * 3 THEN 0.4 ELSE 0.2 END::DOUBLE"
-_CAT = "CASE WHEN tot = 0 THEN 0.5 WHEN NOT cat THEN 0.2 WHEN hit * 100 >= tot * 95 THEN 1.0 WHEN hit * 10 >= tot * 8 THEN 0.85 WHEN hit * 10 >= tot * 6 THEN 0.7 WHEN hit * 10 >= tot * 4 THEN 0.55 ELSE 0.3 END::DOUBLE"
-_HEU = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN lang IN ('java', 'xml') AND els > 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + -0.2::DOUBLE))"
-_PEN = "CASE WHEN fb THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN part THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + 0.05::DOUBLE * (els % 3) + 0.03::DOUBLE * (els % 4)"
-
-
-def _parse_rows(m: Model) -> DataFrame:
-    i = F.col("file_id")
-    return m.files().select(
-        "file_id", (i % 9 != 0).alias("ok"), (i % 3 == 0).alias("complete"), (i % 3 == 1).alias("part"), (i % 5 == 0).alias("fb"), (i % 13).cast("double").alias("secs"), (i % 17).alias("els"),
-        (i % 11).alias("hit"), (i % 4 * 5).alias("tot"), (i % 2 == 0).alias("cat"), F.lower(F.coalesce("language", F.lit(""))).alias("lang"),
-    )
-
-
-def _scores(m: Model) -> DataFrame:
-    return _parse_rows(m).select(
-        "file_id",
-        scoring.ast_score("ok", "complete", "part", "fb", "secs", "els").alias("ast"),
-        scoring.static_score("hit", "tot").alias("static"),
-        scoring.catalog_score("hit", "tot", "cat").alias("catalog"),
-        scoring.heuristic_score("lang", "els", F.lit("regex")).alias("heuristic"),
-        scoring.complexity_penalty("fb", "part", F.col("els") % 3, F.col("els") % 4).alias("penalty"),
-    )
-
-
-def _pct(c, name):
-    """Scores in whole millis: what is compared doesn't hang on the last bit."""
-    return F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(name)
-
-
-@query(f"WITH {FILES}, {_PARSE} SELECT file_id, CAST(floor(({_AST}) * 1000 + 0.5) AS BIGINT) AS ast, CAST(floor(({_STATIC}) * 1000 + 0.5) AS BIGINT) AS static, CAST(floor(({_CAT}) * 1000 + 0.5) AS BIGINT) AS catalog, CAST(floor(({_HEU}) * 1000 + 0.5) AS BIGINT) AS heuristic, CAST(floor(({_PEN}) * 1000 + 0.5) AS BIGINT) AS penalty FROM p")
-def ref_c1_score_parts(m):
-    return _scores(m).select("file_id", *[_pct(c, c) for c in ("ast", "static", "catalog", "heuristic", "penalty")])
-
-
-@query(f"WITH {FILES}, {_PARSE} SELECT file_id, CAST(floor(greatest(0.1, least(1.0, 0.4::DOUBLE * ({_AST}) + 0.3::DOUBLE * ({_STATIC}) + 0.2::DOUBLE * ({_CAT}) + 0.1::DOUBLE * ({_HEU}) - ({_PEN}))) * 1000 + 0.5000001) AS BIGINT) AS confidence FROM p")
-def ref_c1_parsing_confidence(m):
-    x = _scores(m).select("file_id", scoring.parsing_confidence("ast", "static", "catalog", "heuristic", "penalty").alias("c"))
-    return x.select("file_id", F.floor(F.col("c") * 1000 + 0.5000001).cast("long").alias("confidence"))
-
-
-@query(f"WITH {EDGES}, x AS (SELECT edge_id, edge_id % 2 = 0 AS explicit, edge_id % 3 = 0 AS wher, edge_id % 5 <> 0 AS eq, edge_id % 7 <> 0 AS tk, edge_id % 11 <> 0 AS ck, edge_id % 13 = 0 AS dyn, edge_id % 4 = 0 AS pk FROM e) SELECT edge_id, greatest(0, least(100, 30 + CASE WHEN explicit THEN 40 WHEN wher THEN 20 ELSE 0 END + CASE WHEN eq THEN 20 ELSE -10 END + CASE WHEN tk THEN 15 ELSE -20 END + CASE WHEN ck THEN 15 ELSE -20 END - CASE WHEN dyn THEN 30 ELSE 0 END + CASE WHEN pk THEN 20 ELSE 0 END)) AS pct FROM x")
-def ref_c2_join_confidence(m):
-    i = F.col("edge_id")
-    s = scoring.join_confidence(i % 2 == 0, i % 3 == 0, i % 5 != 0, i % 7 != 0, i % 11 != 0, i % 13 == 0, i % 4 == 0)
-    return m.edges().select("edge_id", F.round(s * 100).cast("int").alias("pct"))
-
-
-@query(f"WITH {EDGES}, x AS (SELECT edge_id, edge_id % 2 = 0 AS alw, edge_id % 3 = 0 AS con, edge_id % 3 = 1 AS par, CASE edge_id % 4 WHEN 0 THEN '=' WHEN 1 THEN 'IN' ELSE '<' END AS op, edge_id % 5 = 0 AS q FROM e) SELECT edge_id, greatest(0, least(100, 40 + CASE WHEN alw THEN 30 ELSE -10 END + CASE WHEN con THEN 20 WHEN par THEN 10 ELSE -15 END + CASE WHEN op = '=' THEN 15 WHEN op IN ('IN', 'BETWEEN') THEN 10 ELSE -5 END + CASE WHEN q THEN 15 ELSE -10 END)) AS pct FROM x")
-def ref_c3_filter_confidence(m):
-    i = F.col("edge_id")
-    op = F.when(i % 4 == 0, "=").when(i % 4 == 1, "IN").otherwise("<")
-    return m.edges().select("edge_id", F.round(scoring.filter_confidence(i % 2 == 0, i % 3 == 0, i % 3 == 1, op, i % 5 == 0) * 100).cast("int").alias("pct"))
-
-
-@query(f"WITH {EDGES}, x AS (SELECT edge_id, confidence, CAST((edge_id % 11) / 10.0 AS DOUBLE) * CAST((edge_id % 7 + 4) / 10.0 AS DOUBLE) AS q FROM e WHERE confidence IS NOT NULL) SELECT edge_id, CAST(floor(greatest(0.0, least(1.0, confidence + CASE WHEN q > 0.5 THEN least(0.3::DOUBLE, (q - 0.5::DOUBLE) * 0.6::DOUBLE) ELSE greatest(-0.2::DOUBLE, (q - 0.5::DOUBLE) * 0.4::DOUBLE) END)) * 1000 + 0.5000001) AS BIGINT) AS millis FROM x")
-def ref_c4_enrichment_delta(m):
-    i = F.col("edge_id")
-    x = m.edges().where("confidence is not null").select("edge_id", scoring.enriched("confidence", (i % 11) / 10, (i % 7 + 4) / 10, F.lit(1.0)).alias("c"))
-    return x.select("edge_id", F.floor(F.col("c") * 1000 + 0.5000001).cast("long").alias("millis"))
-
-
-@query("WITH g AS (SELECT unnest(range(30, 55, 5)) AS a), h AS (SELECT unnest(range(20, 45, 5)) AS b), w AS (SELECT a, b, 100 - a - b AS c FROM g, h WHERE 100 - a - b BETWEEN 5 AND 40), t AS (SELECT DISTINCT file_id % 11 AS x, file_id % 7 AS y, file_id % 5 AS z, file_id % 13 AS truth FROM files), m AS (SELECT a, b, c, sum(abs(a * x + b * y + c * z - 80 * truth)) AS err FROM w, t GROUP BY ALL) SELECT a, b, c, CAST(err AS BIGINT) AS err FROM m ORDER BY err, a, b LIMIT 1")
-def ref_c5_weight_calibration(m):
-    i = F.col("file_id")
-    truth = m.raw("files").select((i % 11).alias("x"), (i % 7).alias("y"), (i % 5).alias("z"), (i % 13).alias("truth")).distinct()
-    return X.calibrate(truth, range(30, 55, 5), range(20, 45, 5))
-
-
 @query(f"WITH {EDGES}, x AS (SELECT project_id, CASE WHEN confidence IS NULL THEN 'critical' WHEN confidence >= 0.8 THEN 'pass' WHEN confidence >= 0.6 THEN 'warning' ELSE 'error' END AS r FROM e) SELECT project_id, CAST(sum(CASE r WHEN 'pass' THEN 10 WHEN 'warning' THEN 7 WHEN 'error' THEN 3 ELSE 0 END) * 10 AS DOUBLE) / count(*) AS score FROM x GROUP BY 1")
 def ref_c6_quality_score(m):
     c = F.col("confidence")
     r = F.when(c.isNull(), 0).when(c >= 0.8, 10).when(c >= 0.6, 7).otherwise(3)
-    return m.edges().groupBy("project_id").agg(((F.sum(r) * 10).cast("double") / F.count(F.lit(1))).alias("score"))
+    return m.edges("project_id", "confidence").groupBy("project_id").agg(((F.sum(r) * 10).cast("double") / F.count(F.lit(1))).alias("score"))
 
 
 @query(f"WITH {FILES} SELECT project_id, count(*) AS files, CAST(count(language) + count(hash) + count(loc) AS DOUBLE) / (3 * count(*)) AS score, CASE WHEN (count(language) + count(hash) + count(loc)) * 10 >= 27 * count(*) THEN 'excellent' WHEN (count(language) + count(hash) + count(loc)) * 10 >= 21 * count(*) THEN 'good' WHEN (count(language) + count(hash) + count(loc)) * 10 >= 15 * count(*) THEN 'fair' ELSE 'poor' END AS status FROM f GROUP BY 1")
@@ -289,26 +188,10 @@ def ref_c7_completeness(m):
     return x.select("project_id", "files", (F.col("have").cast("double") / (3 * F.col("files"))).alias("score")).withColumn("status", scoring.completeness_status("score"))
 
 
-@query(f"WITH {EDGES} SELECT project_id, greatest(0.0, 100.0 * count(dst_id) / count(*) - 10 * (count(*) - count(dst_id)) / 50) AS quality FROM (SELECT project_id, dst_id FROM e) GROUP BY 1")
-def ref_c8_relationship_quality(m):
-    x = m.edges().groupBy("project_id").agg(F.count("dst_id").alias("have"), F.count(F.lit(1)).alias("n"))
-    return x.select("project_id", F.greatest(F.lit(0.0), F.lit(100.0) * F.col("have") / F.col("n") - F.lit(10) * (F.col("n") - F.col("have")) / 50).alias("quality"))
-
-
-@query(f"WITH {EDGES}, {COMPONENTS}, k AS (SELECT project_id, count(*) FILTER (component_type = 'method') AS methods FROM c GROUP BY 1), x AS (SELECT project_id, count(*) FILTER (src_type = 'method' AND dst_type = 'method') AS mm, count(*) FILTER (dst_id IS NULL) AS lost, count(*) AS n FROM e GROUP BY 1) SELECT k.project_id, greatest(CASE WHEN methods > 0 AND coalesce(mm, 0) = 0 THEN 0.8 ELSE 0.1 END, CASE WHEN lost * 10 > n THEN 0.5 ELSE 0.1 END, CASE WHEN n < 100 THEN 0.4 ELSE 0.1 END)::DOUBLE AS risk FROM k LEFT JOIN x USING (project_id)")
-def ref_c9_silent_failure_risk(m):
-    k = m.components().groupBy("project_id").agg(F.count_if(F.col("component_type") == "method").alias("methods"))
-    x = m.edges().groupBy("project_id").agg(F.count_if((F.col("src_type") == "method") & (F.col("dst_type") == "method")).alias("mm"), F.count_if(F.col("dst_id").isNull()).alias("lost"), F.count(F.lit(1)).alias("n"))
-    risk = F.greatest(
-        F.when((F.col("methods") > 0) & (F.coalesce("mm", F.lit(0)) == 0), 0.8).otherwise(0.1), F.when(F.col("lost") * 10 > F.col("n"), 0.5).otherwise(0.1), F.when(F.col("n") < 100, 0.4).otherwise(0.1)
-    )
-    return k.join(x, "project_id", "left").select("project_id", risk.alias("risk"))
-
-
 @query(f"WITH {EDGES}, {COMPONENTS}, a AS (SELECT project_id, count(*) AS n FROM c GROUP BY 1), b AS (SELECT project_id, count(*) AS e FROM e GROUP BY 1) SELECT a.project_id, CASE WHEN n > 1 THEN CAST(e AS DOUBLE) / (CAST(n AS DOUBLE) * (n - 1) / 2) ELSE 0 END AS density, CAST(e AS DOUBLE) / n AS per_node FROM a JOIN b USING (project_id)")
 def ref_c10_density(m):
-    a = m.components().groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
-    b = m.edges().groupBy("project_id").agg(F.count(F.lit(1)).alias("e"))
+    a = m.components("project_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    b = m.edges("project_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("e"))
     return a.join(b, "project_id").select("project_id", scoring.density("e", "n").alias("density"), F.try_divide(F.col("e").cast("double"), F.col("n")).alias("per_node"))
 
 
@@ -316,23 +199,15 @@ def ref_c10_density(m):
 def ref_c11_edge_relatedness(m):
     from lodegraph.operators.relational import edge_score
 
-    return m.edges().where("src_id <> 0 and dst_id <> 0").select("edge_id", edge_score().alias("score"))
+    return m.edges("src_id", "dst_id", "edge_kind").where("src_id <> 0 and dst_id <> 0").select("edge_id", edge_score().alias("score"))
 
 
 @query(f"WITH {COMPONENTS}, b AS (SELECT project_id, regexp_replace(component_name, '(Service|Controller|Repository|DAO|DTO|VO|Impl|Test)$', '') AS base, count(*) AS n, min(component_id) AS first FROM c WHERE component_type = 'class' GROUP BY 1, 2) SELECT project_id, base, n AS classes, first, 80 AS score_pct FROM b WHERE n > 1")
 def ref_c12_naming_relatedness(m):
-    b = m.components().where("component_type = 'class'").groupBy("project_id", code.suffix_stripped("component_name").alias("base")).agg(F.count(F.lit(1)).alias("classes"), F.min("component_id").alias("first"))
+    b = m.components("project_id", "component_name", "component_type").where("component_type = 'class'").groupBy("project_id", code.suffix_stripped("component_name").alias("base")).agg(F.count(F.lit(1)).alias("classes"), F.min("component_id").alias("first"))
     return b.where("classes > 1").withColumn("score_pct", F.lit(80))
 
 
-@query(f"WITH {EDGES}, x AS (SELECT id, CAST(sum(i) AS BIGINT) AS inc, CAST(sum(o) AS BIGINT) AS out FROM (SELECT src_id AS id, 0 AS i, 1 AS o FROM e WHERE src_type = 'method' UNION ALL SELECT dst_id, 1, 0 FROM e WHERE dst_type = 'method' AND dst_id IS NOT NULL) GROUP BY 1) SELECT id AS method_id, 2 * inc + out + CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS centrality FROM x ORDER BY 2 DESC, 1 LIMIT 50")
-def ref_c13_centrality(m):
-    from lodegraph.operators.relational import degrees
-
-    x = degrees(m.edges()).where("node_type = 'method'")
-    return x.select(F.col("node_id").alias("method_id"), scoring.centrality("in_degree", "out_degree", F.col("node_id") % 2 == 0).alias("centrality")).orderBy(F.desc("centrality"), "method_id").limit(50)
-
-
 _JOINS = r"""j AS (SELECT file_id, upper(unnest(regexp_extract_all(clean, '(?i)\bJOIN\s+([A-Za-z_][A-Za-z0-9_.]*)\s+(?:[A-Za-z_][A-Za-z0-9_]*\s+)?ON\s*\(?\s*([A-Za-z0-9_.]+)\s*=\s*([A-Za-z0-9_.]+)', 1))) AS target, unnest(regexp_extract_all(clean, '(?i)\bJOIN\s+([A-Za-z_][A-Za-z0-9_.]*)\s+(?:[A-Za-z_][A-Za-z0-9_]*\s+)?ON\s*\(?\s*([A-Za-z0-9_.]+)\s*=\s*([A-Za-z0-9_.]+)', 2)) AS l, unnest(regexp_extract_all(clean, '(?i)\bJOIN\s+([A-Za-z_][A-Za-z0-9_.]*)\s+(?:[A-Za-z_][A-Za-z0-9_]*\s+)?ON\s*\(?\s*([A-Za-z0-9_.]+)\s*=\s*([A-Za-z0-9_.]+)', 3)) AS r FROM x)"""
 
 
@@ -345,14 +220,6 @@ def ref_c14_keys_by_frequency(m):
 _PK = r"""pk AS (SELECT DISTINCT upper(regexp_extract(s, '(?i)CREATE TABLE ([A-Za-z0-9_]+)', 1)) AS tab, lower(regexp_extract(s, '(?i)PRIMARY KEY \(([A-Za-z0-9_]+)\)', 1)) AS col FROM (SELECT unnest(string_split(flat, ';')) AS s FROM x) WHERE regexp_matches(s, '(?i)CREATE TABLE [A-Za-z0-9_]+') AND regexp_matches(s, '(?i)PRIMARY KEY \('))"""
 
 
-@query(f"{_T}, {_SQLFILES}, {_JOINS}, {_PK} SELECT j.file_id, j.target, j.r, count(*) AS n, bool_or(pk.tab IS NOT NULL) AS key_side FROM j LEFT JOIN pk ON pk.tab = j.target AND pk.col = lower(split_part(j.r, '.', 2)) GROUP BY 1, 2, 3")
-def ref_c15_keys_by_test(m):
-    t = _texts(m, ".sql")
-    keys = X.primary_keys(t, "content").withColumn("hit", F.lit(True))
-    j = X.sql_joins(t, "file_id", "content").withColumn("col", F.lower(F.split_part("right", F.lit("."), F.lit(2)))).withColumn("tab", F.col("target"))
-    return j.join(keys, ["tab", "col"], "left").groupBy("file_id", "target", F.col("right").alias("r")).agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("hit", F.lit(False))).alias("key_side"))
-
-
 @query(f"{_T}, {_SQLFILES}, {_JOINS} SELECT DISTINCT l, r, CASE WHEN regexp_matches(lower(l), '(^|\\.)id$|_id$') OR regexp_matches(lower(r), '(^|\\.)id$|_id$') THEN 90 ELSE 70 END AS pct FROM j")
 def ref_c16_keys_by_name(m):
     j = X.sql_joins(_texts(m, ".sql"), "file_id", "content").select(F.col("left").alias("l"), F.col("right").alias("r")).distinct()
@@ -360,21 +227,6 @@ def ref_c16_keys_by_name(m):
     return j.select("l", "r", F.when(named, 90).otherwise(70).alias("pct"))
 
 
-@query(f"WITH {EDGES}, {COMPONENTS}, m AS (SELECT project_id, count(*) AS n FROM c WHERE component_type = 'method' GROUP BY 1), x AS (SELECT project_id, count(*) FILTER (src_type = 'method' AND dst_type = 'method') AS mm, count(*) FILTER (dst_id IS NULL) AS lost, count(*) AS n FROM e GROUP BY 1) SELECT m.project_id, 'few_calls' AS alert, CASE WHEN m.n >= 50 THEN 'high' ELSE 'medium' END AS severity FROM m JOIN x USING (project_id) WHERE x.mm < 2 * m.n UNION ALL SELECT project_id, 'unresolved', 'medium' FROM x WHERE lost * 100 > 7 * n")
-def ref_c17_alerts(m):
-    a = m.components().where("component_type = 'method'").groupBy("project_id").agg(F.count(F.lit(1)).alias("methods"))
-    x = m.edges().groupBy("project_id").agg(F.count_if((F.col("src_type") == "method") & (F.col("dst_type") == "method")).alias("mm"), F.count_if(F.col("dst_id").isNull()).alias("lost"), F.count(F.lit(1)).alias("n"))
-    one = a.join(x, "project_id").where("mm < 2 * methods").select("project_id", F.lit("few_calls").alias("alert"), F.when(F.col("methods") >= 50, "high").otherwise("medium").alias("severity"))
-    return one.unionByName(x.where("lost * 100 > 7 * n").select("project_id", F.lit("unresolved").alias("alert"), F.lit("medium").alias("severity")))
-
-
-@query(f"WITH {EDGES}, {COMPONENTS}, x AS (SELECT project_id, count(*) FILTER (edge_kind = 'call') AS calls, count(*) FILTER (edge_kind = 'use_table') AS tabs FROM e GROUP BY 1) SELECT project_id, CASE WHEN calls >= 100 THEN 1.0 WHEN calls > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS sequence, CASE WHEN tabs >= 50 THEN 1.0 WHEN tabs > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS erd FROM x")
-def ref_c18_readiness(m):
-    x = m.edges().groupBy("project_id").agg(F.count_if(F.col("edge_kind") == "call").alias("calls"), F.count_if(F.col("edge_kind") == "use_table").alias("tabs"))
-    ready = lambda c, k: F.when(F.col(c) >= k, 1.0).when(F.col(c) > 0, 0.5).otherwise(0.0)
-    return x.select("project_id", ready("calls", 100).alias("sequence"), ready("tabs", 50).alias("erd"))
-
-
 # X: extraction -------------------------------------------------------------------
 @query(f"{_T}, {_SQLFILES}, s AS (SELECT file_id, unnest(regexp_split_to_array(clean, ';[ \\t\\r]*(?:\\n|$)')) AS st FROM x), n AS (SELECT file_id, trim(regexp_replace(st, '[ \\t\\r\\n]+', ' ', 'g')) AS statement FROM s) SELECT file_id, statement, count(*) AS n FROM n WHERE statement <> '' GROUP BY ALL")
 def ref_x1_statements(m):
@@ -503,11 +355,6 @@ def ref_x21_annotations(m):
     return k.groupBy("annotation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("files"))
 
 
-@query(f"{_T}, l AS (SELECT t.file_id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM t JOIN f USING (file_id) WHERE content IS NOT NULL), r AS (SELECT file_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN path LIKE '%.xml' AND regexp_matches(line, '\\$\\{{[a-zA-Z_]') THEN 1 WHEN path LIKE '%.java' AND regexp_matches(line, 'append\\(\"SELECT[^?]*\"') THEN 2 WHEN path LIKE '%.jsp' AND regexp_matches(line, '<%=[^%]*%>') THEN 3 END AS rule FROM l) SELECT file_id, line_no, CASE rule WHEN 3 THEN 'xss' ELSE 'sql_injection' END AS kind, rule FROM r WHERE rule IS NOT NULL")
-def ref_x22_vulnerability_scan(m):
-    return X.scan_rules(_texts(m), "file_id", "content", "path", [(".xml", "sql_injection", r"\$\{[a-zA-Z_]"), (".java", "sql_injection", r'append\("SELECT[^?]*"'), (".jsp", "xss", r"<%=[^%]*%>")])
-
-
 @query(f"{_T}, l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS pos FROM t WHERE content IS NOT NULL) SELECT file_id, CAST(pos // 40 AS INTEGER) AS chunk, md5(string_agg(line, chr(10) ORDER BY pos)) AS hash, count(*) AS lines FROM l GROUP BY 1, 2")
 def ref_x23_line_chunks(m):
     return X.line_chunks(m.contents(), "file_id", "content", 40)
@@ -541,7 +388,7 @@ def ref_y15_comment_count(m):
 
 @query(f"WITH {FILES}, {COMPONENTS}, k AS (SELECT file_id, count(*) AS classes FROM c WHERE component_type = 'class' GROUP BY 1) SELECT f.project_id, CASE WHEN coalesce(sum(classes), 0) = 0 THEN 0 ELSE CAST(sum(loc) AS DOUBLE) / CAST(sum(classes) AS DOUBLE) END AS lines_per_class FROM f LEFT JOIN k USING (file_id) GROUP BY 1")
 def ref_y16_lines_per_class(m):
-    k = m.components().where("component_type = 'class'").groupBy("file_id").agg(F.count(F.lit(1)).alias("classes"))
+    k = m.components("project_id", "file_id", "component_type").where("component_type = 'class'").groupBy("file_id").agg(F.count(F.lit(1)).alias("classes"))
     return m.files().join(k, "file_id", "left").groupBy("project_id").agg(F.coalesce(F.try_divide(F.sum("loc").cast("double"), F.sum("classes").cast("double")), F.lit(0.0)).alias("lines_per_class"))
 
 

@@ -103,3 +103,23 @@ def archive_classes(archives: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "class_name", "size"])
 
     return archives.select("path", "content").mapInPandas(run, "path string, class_name string, size long")
+
+
+def read_settings(text: str) -> dict:
+    """Lists by key of a project's settings (a YAML mapping of lists of scalars); comments and blank lines don't count."""
+    out: dict[str, list[str]] = {}
+    key = None
+    for line in text.splitlines():
+        bare = line.split(" #")[0].rstrip()
+        if not bare.strip() or bare.lstrip().startswith("#"):
+            continue
+        if bare.lstrip().startswith("- "):
+            if key is None:
+                raise ValueError(f"settings: an entry without a key: {line}")
+            out[key].append(bare.lstrip()[2:].strip().strip("\"'"))
+        elif bare.endswith(":"):
+            key = bare.strip()[:-1].strip("\"'")
+            out[key] = []
+        else:
+            raise ValueError(f"settings: neither a key nor an entry: {line}")
+    return out

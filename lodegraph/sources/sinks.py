@@ -51,3 +51,16 @@ def sarif(findings: DataFrame, tool: str) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, key: str) -> None:
     """Replace only the partitions that ``df`` brings."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def diagram_lines(linked: DataFrame) -> DataFrame:
+    """(diagram, line) of sequence, class and entity diagrams from (src_type, dst_type, edge_kind, a, b: labels)."""
+    a, b = (F.regexp_replace(c, "[^A-Za-z0-9_]", "_") for c in ("a", "b"))
+    k, pad = F.col("edge_kind"), F.lit("    ")
+    both = lambda t: (F.col("src_type") == t) & (F.col("dst_type") == t)
+    lines = [
+        F.when(both("method"), F.struct(F.lit("sequence").alias("diagram"), F.concat(pad, a, F.lit("->>"), b, F.lit(": "), k).alias("line"))),
+        F.when(k.isin("extends", "implements"), F.struct(F.lit("class").alias("diagram"), F.concat(pad, b, F.when(k == "extends", " <|-- ").otherwise(" <|.. "), a).alias("line"))),
+        F.when(F.col("dst_type") == "table", F.struct(F.lit("erd").alias("diagram"), F.concat(pad, a, F.lit(" }o--|| "), b, F.lit(" : "), k).alias("line"))),
+    ]
+    return linked.select(F.inline(F.array_compact(F.array(*lines))))
