@@ -34,7 +34,7 @@ TRAIN_ROWS = 40_000
 THRESHOLD = 0.5
 MASK = "REDACTED"
 #: What makes a line worth a look (lower case).
-HINTS = ["pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "bearer", "login", "private key", "://", "identified by", "connect ", "signer", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "_live_", "_pat_", "_sk_", "eyj", "dsn", "phrase", "signing", "identified", "암호", "비밀", "인증", "접속", "키:"]
+HINTS = ["pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "bearer", "login", "private key", "://", "identified by", "connect ", "signer", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "_live_", "_pat_", "_sk_", "eyj", "dsn", "jdbc:", "getconnection(", "connect(", "phrase", "signing", "identified", "암호", "비밀", "인증", "접속", "키:"]
 #: A line that ends so goes on: what it assigns to, or calls, names a literal that begins the next.
 _GOES_ON = re.compile(r"[\w\"')\]]\s*(?:[=:]|:=|=>|\()\s*$")
 _BEGINS = re.compile(r"\s*[frbu]?[\"'`]")
@@ -47,6 +47,8 @@ _IDENTIFIED = re.compile(r"\bidentified\s+by\s+(?!values\b)([^\s\"'`;,()]+)", re
 _COMMENT = re.compile(r"(?://|--|#|/\*|<!--|<%--|^\s*\*)\s*(.*?)\s*(?:\*/|-->|--%>)?\s*$")
 _IN_COMMENT = re.compile(r"^((?:[^\s:=/]+\s+){0,6}?[^\s:=/]+)\s*(?:[:=]\s*|\s/\s*)(\S+)$")
 _CONNECT = re.compile(r"\bconnect\s+[\w$]+/([^\s@/]+)@", re.I)
+# the third of three literals that open a connection: address, user, password
+_OPENED = re.compile(r"(?:\b(?:getConnection|connect)\s*\(\s*|(?=[\"']jdbc:))([\"'])[^\"'\n]*\1\s*,\s*([\"'])[^\"'\n]*\2\s*,\s*([\"'])([^\"'\n]+)\3", re.I)
 _USERINFO = re.compile(r"[A-Za-z][\w+.\-]*://[^\s:/@\"'`]+:([^\s\"'`@]+)@")
 _PARAM = re.compile(r"(?:^|[?&;])\s*([A-Za-z_ ]*(?:pass(?:word|wd)?|pwd|secret|token|key|sig))\s*=\s*([^&;\s\"']+)", re.I)
 _DEFAULT = re.compile(r"^\$\{([^:{}]+):(.*)\}$")
@@ -145,10 +147,11 @@ def scan_line(line: str, before: str = "") -> list[tuple[int, int, str, str, str
     if m:
         return [(m.start(), m.end(), "pem", at.context(m.start()), m.group())]
     out = []
+    opened = {m.start(4) for m in _OPENED.finditer(line)}
     for m in _QUOTED.finditer(line):
         k = m.lastindex
         if k and not at.fetched(m.start()):
-            out += _split_value(m.group(k), at.context(m.start(), m.end()), m.start(k))
+            out += _split_value(m.group(k), "password" if m.start(k) in opened else at.context(m.start(), m.end()), m.start(k))
     for m in _TAG.finditer(line):
         out.append((m.start(1), m.end(1), "tag", at.context(m.start()), m.group(1)))
     for m in _CONNECT.finditer(line):

@@ -104,3 +104,8 @@ def test_redacts_many_secrets_of_a_long_text_in_linear_time():
     start = time.time()
     out = S.redact_text(text, spans)
     assert out == 'password = "REDACTED"\n' * 40_000 and time.time() - start < 5
+
+
+@pytest.mark.parametrize("line", ['Connection c = DriverManager.getConnection("jdbc:oracle:thin:@h-db7.x.example:1521:sid", "app", "SFY3_Q1yHRiG");', "db.connect('h', 'app', 'SFY3_Q1yHRiG')", '    "jdbc:oracle:thin:@h:1521:sid", "app", "SFY3_Q1yHRiG");'])
+def test_password_that_opens_a_connection(line):
+    assert ("password", "SFY3_Q1yHRiG") in [(name, value) for *_, name, value in S.scan_text(line)]
