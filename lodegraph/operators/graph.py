@@ -154,8 +154,9 @@ def grid_positions(nodes: DataFrame, key: str, columns: int, groups: str) -> Dat
     return nodes.select(groups, key, i.alias("_i")).select(groups, key, F.floor(F.col("_i") / columns).cast("int").alias("y"), (F.col("_i") % columns).alias("x"))
 
 
-#: Gain in modularity below which communities stay, and rounds without any that end a level.
-LEAST_GAIN = 1e-4
+#: Gain in modularity below which a level is the last; share of nodes that move below which, and share of those two rounds
+#: before above which, the rounds of a level end.
+LEAST_GAIN, LEAST_MOVES, STEADY = 1e-4, 0.01, 0.9
 
 
 def modularity(links: DataFrame, labels: DataFrame) -> float:
@@ -170,8 +171,9 @@ def _moved(links: DataFrame) -> DataFrame:
     """(node, label) after rounds of local moves: nodes go where modularity gains most, half of them in each round."""
     degree = cut(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
     total = float(degree.agg(F.sum("k")).first()[0] or 0)
-    labels, best = cut(degree.select("node", F.col("node").alias("label"))), None
-    still = 0
+    labels = cut(degree.select("node", F.col("node").alias("label")))
+    moves: list[int] = []
+    nodes = labels.count()
     for r in count():
         sizes = labels.join(degree, "node").groupBy("label").agg(F.sum("k").alias("size"))
         near = links.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("w"))
@@ -182,13 +184,12 @@ def _moved(links: DataFrame) -> DataFrame:
         gain = F.col("w") - others * F.col("k") / F.lit(total)
         choice = x.groupBy("node", "own").agg(F.max(F.struct(gain.alias("gain"), (F.col("label") == F.col("own")).alias("stays"), F.col("label"))).alias("c"))
         turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0  # neighbours that swap sides together would never settle
-        labels = cut(choice.select("node", F.when(turn, F.col("c.label")).otherwise(F.col("own")).alias("label")))
-        now = modularity(links, labels)
-        still = still + 1 if best is not None and now - best[0] < LEAST_GAIN else 0
-        if best is None or now > best[0]:
-            best = (now, labels)
-        if still >= 2:
-            return best[1]
+        goes = turn & (F.col("c.label") != F.col("own"))
+        now = cut(choice.select("node", F.when(goes, F.col("c.label")).otherwise(F.col("own")).alias("label"), goes.alias("goes")))
+        moves.append(now.where("goes").count())
+        labels = now.drop("goes")
+        if moves[-1] <= LEAST_MOVES * nodes or (r >= 4 and moves[-1] >= STEADY * moves[-3]):
+            return labels
 
 
 def modularity_communities(edges: DataFrame) -> DataFrame:

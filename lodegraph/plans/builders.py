@@ -9,7 +9,6 @@ from lodegraph.functions import code, findings, paths, sqltext
 from lodegraph.model import COMPONENTS, CONTENTS, EDGES, FILES, HINTS, NODES, Model
 from lodegraph.operators import dml as D
 from lodegraph.operators import extract as X
-from lodegraph.operators import graph as G
 from lodegraph.operators import relational as R
 from lodegraph.plans.extraction import LINKS, _of, _targets_sql
 from lodegraph.plans.text import _SQLFILES, _T, _texts
@@ -215,12 +214,6 @@ def ref_s5_column_list_tables(m):
     return scans.column_list_csv(rows)[0]
 
 
-# Communities ---------------------------------------------------------------------------------------------
-@query()
-def ref_g9_modularity_communities(m):
-    return G.modularity_communities(G.keyed(m.edges("src_type", "src_id", "dst_type", "dst_id", "edge_kind", "confidence")))
-
-
 def queries() -> dict:
     return dict(_Q)
 
